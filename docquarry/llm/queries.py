@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash, tokenfile
+from . import decontaminate, media, packing, secrets, simhash, tokenfile
 from .common import scratch_path
 
 
@@ -23,6 +23,25 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _digest(spans: str, kinds: tuple[str, ...]) -> tuple:
+    """Base digest and listing of a span array; kinds beyond ``kinds`` are left out of the digest."""
+    text = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+    base = F.filter(F.col(spans), lambda x: x["kind"].isin(*kinds))
+    joined = lambda a: F.array_join(F.transform(a, text), ",")
+    return F.sha2(joined(base).cast("binary"), 256), joined(F.col(spans))
+
+
+def _counts(spans: str, kinds: tuple[str, ...]) -> list:
+    of = lambda kind: F.size(F.filter(F.col(spans), lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return [of(x) for x in kinds]
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, listed = _digest("secrets", secrets.KINDS[:3])
+    return found.select("doc_id", *_counts("secrets", secrets.KINDS), base.alias("base_sha256"), listed.alias("spans"))
+
+
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens-orc")
     tokenfile.write(_table(spark, sf_dir, "documents"), path)
@@ -33,5 +52,19 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op7_token_orc, op8_decontaminate)}
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
+    docs = docs.withColumn("payload", media.padded(F.col("raw")))
+    path = scratch_path(spark, "media")
+    media.store(docs, path)
+    # Each document as a page: its number, then its payload as a figure with the number as caption.
+    number, at = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), media.address(F.col("payload"))
+    page = F.format_string("<article><p>%s</p><figure><img src='%s'><figcaption>%s</figcaption></figure></article>", number, at, number)
+    pages = docs.select("doc_id", F.coalesce(F.octet_length("raw"), F.lit(0)).cast("long").alias("n_bytes"), page.alias("html"))
+    sequences = pages.select("doc_id", "n_bytes", media.parse(F.col("html")).alias("elements"))
+    found = media.resolve(sequences, media.features(media.load(spark, path)), keys=["doc_id", "n_bytes"])
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op5_secrets, op7_token_orc, op8_decontaminate, op10_media)}
 ORACLE_SQL: dict[str, str] = {}
