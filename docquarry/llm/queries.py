@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, packing, secrets, simhash, tokenfile
+from . import decontaminate, media, packing, secrets, simhash, tokenfile, toxicity, warc
 from .common import scratch_path
 
 
@@ -42,6 +42,13 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *_counts("secrets", secrets.KINDS), base.alias("base_sha256"), listed.alias("spans"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), toxicity.score(F.col("text"), model, docs).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens-orc")
     tokenfile.write(_table(spark, sf_dir, "documents"), path)
@@ -52,6 +59,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")), keep=["page_id"])
+    size, head = F.octet_length("block").cast("long").alias("content_length"), F.sha2(F.col("head").cast("binary"), 256).alias("head_sha256")
+    return records.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "source_digest", "block_digest", size, head)
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
     docs = docs.withColumn("payload", media.padded(F.col("raw")))
@@ -66,5 +79,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op5_secrets, op7_token_orc, op8_decontaminate, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op5_secrets, op6_toxicity, op7_token_orc, op8_decontaminate, op9_warc, op10_media)}
 ORACLE_SQL: dict[str, str] = {}
