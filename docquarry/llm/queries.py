@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, packing, secrets, simhash, tokenfile, toxicity, warc
+from . import decontaminate, media, packing, pii, secrets, simhash, tokenfile, toxicity, warc
 from .common import scratch_path
 
 
@@ -36,6 +36,12 @@ def _counts(spans: str, kinds: tuple[str, ...]) -> list:
     return [of(x) for x in kinds]
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(_table(spark, sf_dir, "documents"))
+    base, listed = _digest("spans", pii.KINDS)
+    return found.select("doc_id", *_counts("spans", (*pii.KINDS, "term")), base.alias("base_sha256"), listed.alias("spans"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base, listed = _digest("secrets", secrets.KINDS[:3])
@@ -79,5 +85,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op5_secrets, op6_toxicity, op7_token_orc, op8_decontaminate, op9_warc, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op4_pii, op5_secrets, op6_toxicity, op7_token_orc, op8_decontaminate, op9_warc, op10_media)}
 ORACLE_SQL: dict[str, str] = {}
