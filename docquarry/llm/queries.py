@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, packing, pii, secrets, simhash, tokenfile, toxicity, warc
+from . import decontaminate, linededup, media, packing, pii, secrets, simhash, tokenfile, toxicity, warc
 from .common import scratch_path
 
 
@@ -23,6 +23,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.remove_repeats(docs, count_col="n_deleted")
+
+
 def _digest(spans: str, kinds: tuple[str, ...]) -> tuple:
     """Base digest and listing of a span array; kinds beyond ``kinds`` are left out of the digest."""
     text = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
@@ -85,5 +90,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op4_pii, op5_secrets, op6_toxicity, op7_token_orc, op8_decontaminate, op9_warc, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_line_dedup, op4_pii, op5_secrets, op6_toxicity, op7_token_orc, op8_decontaminate, op9_warc, op10_media)}
 ORACLE_SQL: dict[str, str] = {}
