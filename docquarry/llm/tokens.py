@@ -17,7 +17,7 @@ import re
 import struct
 
 #: Chunks in each of the two generations that a worker remembers: a full young one becomes the old one.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: Longer chunks are not remembered.
 LONGEST = 64
 
@@ -56,8 +56,11 @@ class _Chunks(dict):
             pass
         elif (word := _WORD.fullmatch(chunk)) and len(chunk) <= LONGEST:
             core = word[1].lower() if self.lower else word[1]
-            shown = self.mark + (core if core.isascii() else core.translate(self.letters))
-            out = self._packed([x.id for x in self.model.tokenize(shown)]) + self.ends[word[2]]
+            if core != chunk:  # its plain form is asked for first
+                out = self[core] + self.ends[word[2]]
+            else:
+                shown = self.mark + (core if core.isascii() else core.translate(self.letters))
+                out = self._packed([x.id for x in self.model.tokenize(shown)])
         else:
             out = self._packed(self.tokenizer.encode(self.before + chunk, add_special_tokens=False).ids)
         if len(chunk) <= LONGEST:
