@@ -11,6 +11,7 @@ cost nearly all of their length.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,7 +28,9 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Words after which a token is a candidate, and how many characters after.
 SENSITIVE, REACH = re.compile(r"(?ai:credential|passphrase|private|bearer|authorization|signature|access[_ -]?key|api[_ -]?key|password|passwd|secret|token)"), 48
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Characters that a candidate has at least.
+LEAST = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Characters on either side that prime the compressor.
 AROUND = 2048
 #: Marginal compressed bytes per byte from which a candidate is reported.
@@ -60,6 +63,15 @@ def novelty(candidate: str, around: str) -> float:
     return (len(compressor.compress(raw)) - len(compressor.compress(b""))) / len(raw)
 
 
+def _after(text: str, at: int) -> Iterator[re.Match]:
+    """Candidates that start within ``REACH`` of a position; nothing beyond is looked at but their own rest."""
+    last = at + REACH
+    while at <= last and (short := CANDIDATE.search(text, at, last + LEAST)):
+        found = CANDIDATE.match(text, short.start())
+        yield found
+        at = found.end()
+
+
 def spans(text: str | None) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) in code points, by start and kind; none for null or empty text."""
     if not text:
@@ -74,9 +86,7 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
     taken = sorted((s, e) for s, _, e in found)
     seen = set()
     for word in SENSITIVE.finditer(text) if any(x in low for x in ("credential", "passphrase", "private", "bearer", "authorization", "signature", "key", *_WORDS)) else ():
-        for m in CANDIDATE.finditer(text, word.end(), len(text)):
-            if m.start() > word.end() + REACH:
-                break
+        for m in _after(text, word.end()):
             if m.span() in seen or any(s < m.end() and m.start() < e for s, e in taken):
                 continue
             seen.add(m.span())
