@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from docquarry.plans import documents, lookup, tables
+from docquarry.plans.registry import ORACLE_SQL, QUERIES
 
+flagship = lookup.search_bm25
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
+__all__ = ["ORACLE_SQL", "QUERIES", "documents", "flagship", "lookup", "tables"]
