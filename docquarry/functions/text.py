@@ -28,10 +28,19 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN_BREAK), lambda x: x != "")
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a lambda inside would else compute it for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ngrams(words: Column, n: int) -> Column:
     """Contiguous n-grams of an array of tokens, joined by spaces; empty if there are fewer than ``n``."""
-    made = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, made).otherwise(F.array().cast("array<string>"))
+
+    def made(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return bound(words, made)
 
 
 def windows(length: Column, size: int, stride: int) -> Column:

@@ -46,18 +46,22 @@ def boolean(words: Column, *, every: tuple[str, ...] = (), some: tuple[str, ...]
 
 def phrase(words: Column, terms: list[str]) -> Column:
     """Number of places where the terms follow one another."""
-    n = len(terms)
-    starts = F.filter(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.slice(words, i, n) == F.array(*map(F.lit, terms)))
-    return F.when(F.size(words) >= n, F.size(starts)).otherwise(0)
+    n, wanted = len(terms), F.array(*map(F.lit, terms))
+
+    def places(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.slice(w, i, n) == wanted)
+        return F.when(F.size(w) >= n, F.size(starts)).otherwise(0)
+
+    return T.bound(words, places)
 
 
 def proximity(df: DataFrame, first: str, second: str, within: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, distance): the least distance of the two terms in each text that holds both at most ``within`` tokens apart."""
-    places = lambda term: F.transform(F.filter(F.transform(F.col("w"), lambda x, i: F.when(x == term, i)), lambda i: i.isNotNull()), lambda i: i)
     both = df.select(id_col, T.tokens(F.col(text_col)).alias("w")).where(F.array_contains("w", first) & F.array_contains("w", second))
-    apart = F.array_min(F.transform(F.col("a"), lambda i: F.array_min(F.transform(F.col("b"), lambda j: F.abs(i - j)))))
-    near = both.select(id_col, places(first).alias("a"), places(second).alias("b")).select(id_col, apart.cast("bigint").alias("distance"))
-    return near.where(F.col("distance") <= within)
+    places = lambda w, term: F.filter(F.transform(w, lambda x, i: F.when(x == term, i)), lambda i: i.isNotNull())
+    apart = lambda a, b: F.array_min(F.transform(a, lambda i: F.array_min(F.transform(b, lambda j: F.abs(i - j)))))
+    least = T.bound(F.col("w"), lambda w: T.bound(places(w, second), lambda b: apart(places(w, first), b)))
+    return both.select(id_col, least.cast("bigint").alias("distance")).where(F.col("distance") <= within)
 
 
 def _matches(df: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
