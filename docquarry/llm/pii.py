@@ -151,6 +151,8 @@ def detect(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sup
         return marked.drop("near")
     holding = df.select(F.xxhash64(text).alias("row"), F.explode(terms_of(text)).alias("term")).join(terms, "term")
     holding = holding.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.length("term").alias("n"), "term", "kind"))).alias("held"))
+    # Written first: where few texts hold a term, its size is then known and only those texts are moved.
+    holding = materialise(holding, "pii-holding")
     texts = df.select(F.xxhash64(text).alias("row"), text.alias("_text"))
     once = texts.join(holding, "row").groupBy("row").agg(F.first("_text").alias("_text"), F.first("held").alias("held"))
     listed = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.reverse(F.col("held.term")), "|"), F.lit(r")(?![\p{L}\p{N}])"))
