@@ -221,7 +221,7 @@ def events_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events), s AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch(min(ts))::BIGINT AS start_s, count(*)::BIGINT AS n FROM s GROUP BY user_id, k")
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events), s AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start_s, count(*)::BIGINT AS n FROM s GROUP BY user_id, k")
 def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = relational.sessions(table(spark, sf_dir, "events"), "30 minutes")
     return found.select("user_id", F.unix_seconds(F.col("start").cast("timestamp")).alias("start_s"), "n")
