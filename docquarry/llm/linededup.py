@@ -22,7 +22,6 @@ the tasks, and joined by Spark's skew join; no group is gathered.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -30,43 +29,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import OUT_BYTES, bounded_arrow, discard, materialise, materialise_at
+from .common import OUT_BYTES, bounded_arrow, discard, materialise, materialise_at, utf8
 
 #: Words on either side among which a soft line break's digest is the least.
 RADIUS = 4
 #: Words that a repeated run has at least.
 MIN_WORDS = 20
-
-
-def soft_lines(text: str) -> list[list[str]]:
-    """Each physical line as its soft lines; joined by spaces and then by line feeds they are the text."""
-    out = []
-    for line in text.split("\n"):
-        words = line.split(" ")
-        n = len(words)
-        if n <= RADIUS + 1:
-            out.append([line])
-            continue
-        own = np.full(n + 2 * RADIUS, 1 << 32, dtype=np.int64)
-        own[RADIUS : RADIUS + n] = [crc32(x.encode("utf-8", "surrogatepass")) for x in words]
-        least = np.ones(n, dtype=bool)
-        for k in range(1, RADIUS + 1):
-            least &= own[RADIUS : RADIUS + n] < own[RADIUS - k : RADIUS - k + n]
-            least &= own[RADIUS : RADIUS + n] <= own[RADIUS + k : RADIUS + k + n]
-        least[0] = False
-        cuts = [0, *np.flatnonzero(least).tolist(), n]
-        out.append([" ".join(words[a:b]) for a, b in zip(cuts, cuts[1:])])
-    return out
-
-
-def _runs(counts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each line the shortest run with ``min_words`` words and the longest that its next line could not cover; 0 if the text ends before."""
+#: Odd, so that it has an inverse.
+BASE = 0x9E3779B97F4A7C15
+_POWERS = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``BASE`` and of its inverse modulo 2 ** 64."""
+    global _POWERS
+    if len(_POWERS[0]) < size:
+        grow = lambda base: np.cumprod(np.append(np.uint64(1), np.full(2 * size - 1, base, np.uint64)), dtype=np.uint64)
+        _POWERS = grow(BASE), grow(pow(BASE, -1, 1 << 64))
+    return _POWERS
+
+
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each word that depends on its bytes alone: differences of one running sum over all."""
+    power, back = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    found = (sums[ends] - sums[starts]) * back[starts]
+    found ^= found >> np.uint64(32)
+    found *= np.uint64(0xD6E8FEB86659FD93)
+    return found ^ found >> np.uint64(29)
+
+
+def soft_lines(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, physical line, words) of the soft lines; joined by spaces and then by line feeds they are the text."""
+    data = np.frombuffer(text, np.uint8)
+    breaks = np.flatnonzero((data == 32) | (data == 10))
+    starts, ends = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(data)]])
+    line = np.concatenate([[0], np.cumsum(data[breaks] == 10)])
+    own = _digests(data, starts, ends)
+    least = np.bincount(line)[line] > RADIUS + 1
+    for k in range(1, min(RADIUS + 1, len(own))):
+        apart = line[k:] != line[:-k]
+        least[k:] &= apart | (own[k:] < own[:-k])
+        least[:-k] &= apart | (own[:-k] <= own[k:])
+    least[0] = True
+    least[1:] |= line[1:] != line[:-1]
+    at = np.flatnonzero(least)
+    solid = np.concatenate([[0], np.cumsum((data != 32) & ((data < 9) | (data > 13)))])
+    words = np.add.reduceat((solid[ends] > solid[starts]).astype(np.int64), at)
+    return starts[at], ends[np.concatenate([at[1:] - 1, [len(ends) - 1]])], line[at], words
+
+
+def _runs(counts: np.ndarray, stop: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each line the shortest run with ``min_words`` words and the longest that its next line could not cover; 0 if its text ends (at ``stop``) before."""
     ends = np.concatenate([[0], counts.cumsum()])
-    n = len(counts)
-    shortest = np.searchsorted(ends, ends[:-1] + min_words, side="left") - np.arange(n)
-    longest = np.searchsorted(ends, ends[1:] + min_words, side="left") - 1 - np.arange(n)
-    reached = shortest + np.arange(n) <= n
-    longest = np.minimum(np.maximum(longest, shortest), n - np.arange(n))
+    at = np.arange(len(counts))
+    shortest = np.searchsorted(ends, ends[:-1] + min_words, side="left") - at
+    longest = np.searchsorted(ends, ends[1:] + min_words, side="left") - 1 - at
+    reached = shortest + at <= stop
+    longest = np.minimum(np.maximum(longest, shortest), stop - at)
     return np.where(reached, shortest, 0), np.where(reached, longest, 0)
 
 
@@ -78,32 +99,31 @@ def lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_
         import xxhash
 
         digest = xxhash.xxh64_intdigest
+
+        def batch(ids: pa.Array, digests: pa.Array, at: int, texts: list[bytes]) -> pa.RecordBatch:
+            # Texts as physical lines of one: a text's first line follows those of the texts before it.
+            whole = b"\n".join(texts)
+            starts, ends, _, words = soft_lines(whole)
+            kept = words > 0
+            starts, ends, words = starts[kept], ends[kept], words[kept]
+            first = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])])
+            bounds = np.searchsorted(starts, first)
+            sizes = np.diff(bounds)
+            pos = np.arange(len(starts)) - np.repeat(bounds[:-1], sizes)
+            shortest, longest = _runs(words, np.repeat(bounds[1:], sizes), min_words)
+            line = np.array([digest(whole[a:b].strip()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.uint64).view(np.int64)
+            index = pa.array(at + np.repeat(np.arange(len(texts)), sizes))
+            made = [ids.take(index), digests.take(index), pa.array(pos.astype(np.int32)), pa.array(line), pa.array(shortest.astype(np.int32)), pa.array(longest.astype(np.int32))]
+            return pa.RecordBatch.from_arrays(made, names=["id", "row", "pos", "line", "shortest", "longest"])
+
         for b in batches:
-            ids, digests = b.column(0), b.column(1)
-            at, pos, line, low, high, held = [], [], [], [], [], 0
-
-            def batch() -> pa.RecordBatch:
-                index = pa.array(np.repeat(np.array(at, dtype=np.int64), [len(x) for x in pos]))
-                join = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.empty(0, kind))
-                return pa.RecordBatch.from_arrays([ids.take(index), digests.take(index), join(pos, np.int32), join(line, np.int64), join(low, np.int32), join(high, np.int32)], names=["id", "row", "pos", "line", "shortest", "longest"])
-
-            for k, text in enumerate(b.column(2).to_pylist()):
-                found = [x for y in soft_lines(text or "") for x in y]
-                counts = np.array([len(x.split()) for x in found], dtype=np.int64)
-                kept = [x for x, n in zip(found, counts, strict=True) if n]
-                if kept:
-                    shortest, longest = _runs(counts[counts > 0], min_words)
-                    at.append(k)
-                    pos.append(np.arange(len(kept)))
-                    line.append(np.array([digest(x.strip().encode("utf-8", "surrogatepass")) for x in kept], dtype=np.uint64).view(np.int64))
-                    low.append(shortest)
-                    high.append(longest)
-                    held += 40 * len(kept)
-                if held > OUT_BYTES:
-                    yield batch()
-                    at, pos, line, low, high, held = [], [], [], [], [], 0
-            if at:
-                yield batch()
+            texts, held = [], 0
+            for k, text in enumerate(utf8(b.column(2))):
+                texts.append(text)
+                held += len(text)
+                if held > OUT_BYTES or k + 1 == b.num_rows:
+                    yield batch(b.column(0), b.column(1), k + 1 - len(texts), texts)
+                    texts, held = [], 0
 
     kind = df.schema[id_col].dataType.simpleString()
     made = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
@@ -151,19 +171,17 @@ def repeated_runs(found: DataFrame) -> DataFrame:
 def deleted(text: str, runs: list[tuple[int, int]]) -> str:
     """The text without the soft lines of ``runs`` (position, length); a physical line that loses all of its own goes too."""
     gone = {x for at, n in runs for x in range(at, at + n)}
-    out, pos = [], 0
-    for line in soft_lines(text):
-        kept = []
-        for part in line:
-            if part.split():
-                if pos not in gone:
-                    kept.append(part)
-                pos += 1
+    whole = text.encode()
+    out, pos, before = [], 0, None
+    for start, end, line, words in zip(*(x.tolist() for x in soft_lines(whole)), strict=True):
+        if not words or pos not in gone:
+            if before == line:
+                out[-1].append(whole[start:end])
             else:
-                kept.append(part)
-        if kept:
-            out.append(" ".join(kept))
-    return "\n".join(out)
+                out.append([whole[start:end]])
+            before = line
+        pos += words > 0
+    return b"\n".join(map(b" ".join, out)).decode()
 
 
 def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, count_col: str | None = None) -> DataFrame:
