@@ -11,11 +11,12 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, *, value_col
 
     Both sides are stacked and ordered once by key and time, and the last value
     is carried on: one shuffle and no pairs. Of right rows with equal key and
-    time the greatest values count; left rows without one get nulls. The
-    values are taken from one right row together.
+    time the greatest values count; left rows without one get nulls, and nulls
+    in a key or time match nothing. The values are taken from one right row
+    together.
     """
     a = left.select(*left.columns, F.lit(1).alias("_side"), F.lit(None).cast(right.select(F.struct(*value_cols)).schema[0].dataType).alias("_v"))
-    b = right.select(*by, F.col(on), F.lit(0).alias("_side"), F.struct(*value_cols).alias("_v"))
+    b = right.dropna(subset=[*by, on]).select(*by, F.col(on), F.lit(0).alias("_side"), F.struct(*value_cols).alias("_v"))
     order = Window.partitionBy(*by).orderBy(F.asc(on), F.asc("_side"), F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = a.unionByName(b, allowMissingColumns=True).withColumn("_last", F.last("_v", ignorenulls=True).over(order))
     return both.where("_side = 1").select(*left.columns, *(F.col(f"_last.{c}").alias(c) for c in value_cols))

@@ -99,7 +99,7 @@ def table_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'F')::BIGINT AS F, count(*) FILTER (WHERE l_linestatus = 'O')::BIGINT AS O FROM lineitem GROUP BY 1")
 def table_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.count("*")).na.fill(0)
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 @query("SELECT s_suppkey, 'bal' AS name, s_acctbal AS value FROM supplier UNION ALL SELECT s_suppkey, 'nation', s_nationkey::DOUBLE FROM supplier")
