@@ -122,7 +122,8 @@ def labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     # Of equal texts the least id stays; only ids and digests are moved for that.
     digests = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("h")).join(F.broadcast(known), "_id")
     chosen = materialise(digests.groupBy("h").agg(F.min(F.struct("_id", "label")).alias("least")).select("least.*"), "toxicity-chosen")
-    return docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select(fold(docs[id_col]).alias("fold"), docs[text_col].alias("text"), "label")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(chosen), "_id").select(fold(F.col("_id")).alias("fold"), "text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
