@@ -15,8 +15,12 @@ the longer ones that a later start could not reach, are looked up; together
 they cover every maximal repeated run. In each interval the first copy stays
 and the others are deleted.
 
-Hot lines and passages are only counted and minimised, with partial results in
-the tasks, and joined by Spark's skew join; no group is gathered.
+The texts' lines are arrays, and texts in order of id make up chunks of bounded
+size. On each level a chunk sends every different interval that it holds once,
+with its first start, to the bucket that has that range of the suffix array;
+Spark groups the buckets, ranks and minimises there, and groups the answers by
+chunk. So a hot line or passage is one entry of a chunk, whatever its number of
+copies, and no text or group of copies is gathered.
 """
 
 from __future__ import annotations
@@ -26,15 +30,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OUT_BYTES, bounded_arrow, discard, materialise, materialise_at, utf8
+from .common import OUT_BYTES, bounded_arrow, discard, materialise_at, utf8
 
 #: Words on either side among which a soft line break's digest is the least.
 RADIUS = 4
 #: Words that a repeated run has at least.
 MIN_WORDS = 20
+#: Lines of a chunk (a longer text is one by itself), and different intervals of a bucket on average.
+CHUNK, BUCKET = 1 << 18, 1 << 20
+#: Sampled pairs of ranks per bucket, from which the bounds of the buckets are taken.
+SAMPLE = 64
 #: Odd, so that it has an inverse.
 BASE = 0x9E3779B97F4A7C15
 _POWERS = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -92,89 +101,284 @@ def _runs(counts: np.ndarray, stop: np.ndarray, min_words: int) -> tuple[np.ndar
 
 
 def lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, row, pos, line, shortest, longest): the soft lines with words, numbered within their text; ``row`` is the text's digest."""
+    """(id, row, rank, words): 64-bit ids and numbers of words of a text's soft lines, as little-endian arrays; ``row`` is the text's digest.
+
+    Soft lines without words are left out, and texts of fewer than ``min_words``
+    words. A task returns an id and text once.
+    """
     bounded_arrow(df.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         digest = xxhash.xxh64_intdigest
+        seen: set[tuple] = set()
 
-        def batch(ids: pa.Array, digests: pa.Array, at: int, texts: list[bytes]) -> pa.RecordBatch:
+        def batch(ids: pa.Array, digests: pa.Array, at: list[int], texts: list[bytes]) -> pa.RecordBatch:
             # Texts as physical lines of one: a text's first line follows those of the texts before it.
             whole = b"\n".join(texts)
             starts, ends, _, words = soft_lines(whole)
             kept = words > 0
-            starts, ends, words = starts[kept], ends[kept], words[kept]
-            first = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])])
-            bounds = np.searchsorted(starts, first)
-            sizes = np.diff(bounds)
-            pos = np.arange(len(starts)) - np.repeat(bounds[:-1], sizes)
-            shortest, longest = _runs(words, np.repeat(bounds[1:], sizes), min_words)
-            line = np.array([digest(whole[a:b].strip()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.uint64).view(np.int64)
-            index = pa.array(at + np.repeat(np.arange(len(texts)), sizes))
-            made = [ids.take(index), digests.take(index), pa.array(pos.astype(np.int32)), pa.array(line), pa.array(shortest.astype(np.int32)), pa.array(longest.astype(np.int32))]
-            return pa.RecordBatch.from_arrays(made, names=["id", "row", "pos", "line", "shortest", "longest"])
+            starts, ends, words = starts[kept], ends[kept], words[kept].astype("<i4")
+            bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])]))
+            line = np.array([digest(whole[a:b].strip()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype="<u8")
+            line[line == 0] = 1  # zero marks a position that dropped out
+            total = np.concatenate([[0], words.cumsum(dtype=np.int64)])
+            long = np.flatnonzero(np.diff(total[bounds]) >= min_words).tolist()
+            cut = lambda x: pa.array([x[bounds[k] : bounds[k + 1]].tobytes() for k in long], pa.binary())
+            index = pa.array([at[k] for k in long], pa.int64())
+            return pa.RecordBatch.from_arrays([ids.take(index), digests.take(index), cut(line), cut(words)], names=["id", "row", "rank", "words"])
 
         for b in batches:
-            texts, held = [], 0
-            for k, text in enumerate(utf8(b.column(2))):
+            at, texts, held = [], [], 0
+            for k, (key, text) in enumerate(zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), utf8(b.column(2)), strict=True)):
+                if key in seen:
+                    continue
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(key)
+                at.append(k)
                 texts.append(text)
                 held += len(text)
-                if held > OUT_BYTES or k + 1 == b.num_rows:
-                    yield batch(b.column(0), b.column(1), k + 1 - len(texts), texts)
-                    texts, held = [], 0
+                if held > OUT_BYTES:
+                    yield batch(b.column(0), b.column(1), at, texts)
+                    at, texts, held = [], [], 0
+            if texts:
+                yield batch(b.column(0), b.column(1), at, texts)
 
     kind = df.schema[id_col].dataType.simpleString()
     made = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    return made.mapInArrow(rows, f"id {kind}, row bigint, pos int, line bigint, shortest int, longest int")
+    return made.mapInArrow(rows, f"id {kind}, row bigint, rank binary, words binary")
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by id and digest: the chunk and the place ``base`` of each text's first line in the sequence of all; repeated rows once."""
+    base = TaskContext.get().partitionId() << 36
+    chunk, before = base, None
+    for b in batches:
+        kept, chunks, bases = [], [], []
+        for k, (key, size) in enumerate(zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), (len(x) // 8 for x in b.column(2).to_pylist()), strict=True)):
+            if key == before:
+                continue
+            before = key
+            if base + size - chunk > CHUNK:
+                chunk = base
+            kept.append(k)
+            chunks.append(chunk)
+            bases.append(base)
+            base += size
+        index = pa.array(kept, pa.int64())
+        columns = [b.column(k).take(index) for k in range(4)]
+        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(bases, pa.int64()), *columns, pa.array([b""] * len(kept), pa.binary())], names=["chunk", "base", "id", "row", "rank", "words", "gone"])
+
+
+def _joined(column: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+class _Chunk:
+    """The lines of a chunk's texts, end to end."""
+
+    def __init__(self, base: np.ndarray, rank, words, min_words: int):
+        self.rank = _joined(rank, "<i8")
+        self.sizes = np.array([len(x) // 8 for x in rank.to_pylist()], dtype=np.int64)
+        self.bounds = np.concatenate([[0], self.sizes.cumsum()])
+        self.stop = np.repeat(self.bounds[1:], self.sizes)
+        self.place = np.arange(len(self.rank)) + np.repeat(base - self.bounds[:-1], self.sizes)
+        self.shortest, self.longest = _runs(_joined(words, "<i4").astype(np.int64), self.stop, min_words)
+
+    def runs(self, level: int) -> tuple[np.ndarray, ...]:
+        """(index, n, first, last): runs of up to ``2 ** level`` lines that are looked up on this level; all of that length itself."""
+        if not level:
+            at = np.arange(len(self.rank))
+            return at, np.ones(len(at), np.int64), self.rank, self.rank
+        half, found = 1 << (level - 1), []
+        live = np.flatnonzero(self.rank)
+        for n in range(half + 1, 2 * half + 1):
+            at = live[live + n - half < self.stop[live]]
+            at = at[self.rank[at + n - half] != 0]
+            if n < 2 * half:
+                at = at[(self.shortest[at] <= n) & (n <= self.longest[at])]
+            found.append((at, np.full(len(at), n)))
+        at, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        return at, n, self.rank[at], self.rank[at + n - half]
+
+    def different(self, level: int) -> tuple:
+        """The runs, the number of the interval of each, and of each interval its (first, last, n), least place and whether it is repeated here."""
+        at, n, first, last = self.runs(level)
+        order, heads = _grouped(first, last, n)
+        number = np.empty(len(at), np.int64)
+        number[order] = np.cumsum(heads) - 1
+        lead = np.flatnonzero(heads)
+        least = np.minimum.reduceat(self.place[at][order], lead) if len(lead) else lead
+        many = np.diff(np.append(lead, len(order))) > 1
+        return at, n, number, (first[order][lead], last[order][lead], n[order][lead]), least, many
+
+
+def _grouped(first: np.ndarray, last: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal triples are neighbours, and where in it a new one begins."""
+    mixed = (first.view(np.uint64) * np.uint64(BASE) ^ last.view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) + n.astype(np.uint64)
+    order = np.argsort(mixed)
+    heads = lambda order, columns: np.concatenate([[True], np.any([x[order][1:] != x[order][:-1] for x in columns], axis=0)])[: len(order)]
+    new = heads(order, (first, last, n))
+    if new.sum() != heads(order, (mixed,)).sum():  # two triples with one mixed value
+        order = np.lexsort((n, last, first))
+        new = heads(order, (first, last, n))
+    return order, new
+
+
+def _bucket(first: np.ndarray, last: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The range of pairs, in order, between the sorted ``bounds`` (two rows) that holds each pair."""
+    low, high = (np.searchsorted(bounds[0], first, side=s) for s in ("left", "right"))
+    out = low.copy()
+    for k in np.unique(low[high > low]):
+        own = np.flatnonzero((low == k) & (high > low))
+        out[own] += np.searchsorted(bounds[1, k : high[own[0]]], last[own], side="right")
+    return out
 
 
-def repeated_runs(found: DataFrame) -> DataFrame:
-    """(id, row, pos, length) of every run that is a later copy, in order of id (nulls first), digest and position."""
+def _asked(level: int, bounds: np.ndarray, min_words: int):
+    """Per chunk and bucket the chunk's different intervals, as arrays."""
+
+    def ask(texts: pa.Table) -> pa.Table:
+        texts = texts.sort_by("base")
+        _, _, _, (first, last, n), least, many = _Chunk(texts["base"].to_numpy(), texts["rank"], texts["words"], min_words).different(level)
+        bucket = _bucket(first, last, bounds)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        columns = [order.astype("<i8"), *(x[order] for x in (first, last, n, least)), many[order].astype("<i8")]
+        sent = np.stack(columns, axis=1)
+        parts = [sent[a:b].tobytes() for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True)] if len(order) else []
+        return pa.table({"bucket": pa.array(bucket[order][edges], pa.int64()), "chunk": pa.array([texts["chunk"][0].as_py()] * len(parts), pa.int64()), "sent": pa.array(parts, pa.binary())})
+
+    return ask
+
+
+def _answered(level: int):
+    """Per chunk the intervals of a bucket that occur twice: their number there, rank and first place."""
+
+    def answer(asked: pa.Table) -> pa.Table:
+        parts = asked["sent"].to_pylist()
+        sent = np.frombuffer(b"".join(parts), "<i8").reshape(-1, 6)
+        owner = np.repeat(np.arange(len(parts)), [len(x) // 48 for x in parts])
+        first, last, n = (np.ascontiguousarray(sent[:, k]) for k in (1, 2, 3))
+        order = np.lexsort((n, last, first))
+        new = np.concatenate([[True], np.any([x[order][1:] != x[order][:-1] for x in (first, last, n)], axis=0)])
+        lead, number = np.flatnonzero(new), np.cumsum(new) - 1
+        least = np.minimum.reduceat(sent[order, 4], lead)
+        twice = np.add.reduceat(1 + sent[order, 5], lead) > 1
+        rank = (asked["bucket"][0].as_py() << 36) + 1 + number
+        kept = twice[number]
+        out = np.stack([sent[order, 0], rank, least[number]], axis=1)[kept]
+        owner = owner[order][kept]
+        by = np.argsort(owner, kind="stable")
+        edges = np.searchsorted(owner[by], np.arange(len(parts) + 1))
+        chunks, replies = asked["chunk"].to_pylist(), out[by]
+        there = [k for k in range(len(parts)) if edges[k] < edges[k + 1]]
+        return pa.table({"chunk": pa.array([chunks[k] for k in there], pa.int64()), "reply": pa.array([replies[edges[k] : edges[k + 1]].tobytes() for k in there], pa.binary())})
+
+    return answer
+
+
+def _advanced(level: int, min_words: int, share: float):
+    """The chunk's texts with ranks of ``2 ** level`` lines and later copies marked; a sample of the next level's pairs."""
+
+    def advance(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        texts = texts.sort_by("base")
+        here = _Chunk(texts["base"].to_numpy(), texts["rank"], texts["words"], min_words)
+        at, n, number, (first, _, _), _, _ = here.different(level)
+        reply = _joined(replies["reply"], "<i8").reshape(-1, 3)
+        rank, least = np.zeros(len(first), np.int64), np.full(len(first), -1)
+        rank[reply[:, 0]], least[reply[:, 0]] = reply[:, 1], reply[:, 2]
+        step, size = 1 << level, len(here.rank)
+        wanted = (here.shortest[at] <= n) & (n <= here.longest[at])
+        later = wanted & (least[number] >= 0) & (least[number] != here.place[at])
+        marks = _joined(texts["gone"], np.uint8) if len(texts["gone"][0].as_py()) else np.zeros(size, np.uint8)
+        gone = marks | _covered(at[later], n[later], size)
+        up = np.zeros(size, np.int64)
+        whole = n == step
+        up[at[whole]] = rank[number[whole]]
+        # Only what can be part of a longer run stays: all its lines are repeated.
+        ends = np.flatnonzero(up == 0) if size else up
+        first_end = np.append(ends, size)[np.searchsorted(ends, np.arange(size))]
+        reach = np.minimum(here.stop, first_end + step - 1) - np.arange(size)
+        start = np.flatnonzero((up != 0) & (np.minimum(here.longest, reach) > step) & (here.shortest <= reach))
+        up *= _covered(start, np.minimum(here.longest, reach)[start], size)
+        cut = lambda x, width: [x[a:b].astype(width).tobytes() for a, b in zip(here.bounds[:-1].tolist(), here.bounds[1:].tolist(), strict=True)]
+        total = np.concatenate([[0], (up != 0).cumsum()])
+        live = np.diff(total[here.bounds]) > 0
+        pair = np.flatnonzero(up)
+        pair = pair[pair + step < here.stop[pair]]
+        pairs = np.stack([up[pair], up[pair + step]], axis=1)[up[pair + step] != 0]
+        mixed = (pairs[:, 0].astype(np.uint64) * np.uint64(BASE) ^ pairs[:, 1].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        drawn = np.unique(pairs[(mixed >> np.uint64(11)) < int(share * (1 << 53))], axis=0)
+        sample = [drawn.astype("<i8").tobytes()] + [b""] * (len(texts) - 1)
+        left = np.diff(np.concatenate([[0], gone.cumsum(dtype=np.int64)])[here.bounds])
+        kept = lambda parts, there: pa.array([x if t else b"" for x, t in zip(parts, there.tolist(), strict=True)], pa.binary())
+        own = {c: texts[c] for c in ("chunk", "base", "id", "row")}
+        own |= {"rank": kept(cut(up, "<i8"), live), "words": kept(texts["words"].to_pylist(), live), "gone": kept(cut(gone, np.uint8), live | (left > 0))}
+        return pa.table(own | {"live": pa.array(live), "n_gone": pa.array(left), "sample": pa.array(sample, pa.binary())})
+
+    return advance
+
+
+def _covered(at: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """1 where any of the runs (start, length) lies, else 0."""
+    change = np.bincount(at, minlength=size + 1) - np.bincount(at + n, minlength=size + 1)
+    return (change.cumsum()[:size] > 0).astype(np.uint8)
+
+
+def _bounds(state: DataFrame, buckets: int) -> np.ndarray:
+    """Pairs that cut the sampled ones into ``buckets`` ranges of equal size; the sample is bounded by ``SAMPLE`` for each."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = _joined(b.column(0), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    drawn = state.where(F.octet_length("sample") > 0).select("sample").mapInArrow(rows, "a bigint, b bigint").distinct().collect()
+    pairs = np.array(sorted((r[0], r[1]) for r in drawn), dtype=np.int64).reshape(-1, 2)
+    return pairs[np.unique(np.arange(1, buckets) * len(pairs) // buckets)].T if len(pairs) else np.empty((2, 0), np.int64)
+
+
+def repeated_lines(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, row, gone, n_gone): for texts with later copies a byte for each soft line with words, 1 where it goes.
+
+    The first copy is the first in order of id (nulls first), digest and position.
+    """
     spark = found.sparkSession
-    again = found.groupBy(F.col("line").alias("rank")).agg(F.count("*").alias("n")).where("n > 1").select("rank")
-    active, path = materialise_at(found.withColumnRenamed("line", "rank").join(again, "rank"), "line-ranks")
-    copies, level = [], 0
-    own = Window.partitionBy("id", "row").orderBy("pos")
+    total = int(found.agg(F.sum(F.octet_length("rank"))).first()[0] or 0) // 8
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET + 1)
+    kind = found.schema["id"].dataType.simpleString()
+    schema = f"chunk bigint, base bigint, id {kind}, row bigint, rank binary, words binary, gone binary"
+    ordered = found.repartitionByRange("id", "row").sortWithinPartitions("id", "row")
+    state, path = materialise_at(ordered.mapInArrow(_numbered, schema), "line-chunks")
+    bounds = np.repeat(np.linspace(-(2**63), 2**63, buckets + 1)[1:-1].astype(np.int64)[None], 2, axis=0)
+    share, done, level = min(1.0, SAMPLE * buckets / max(total, 1)), [], 0
     while True:
-        step = 1 << level
-        # A repeated run's starts are all active, so the row ``k`` further on is at position ``pos + k`` or not in the run.
-        ahead = lambda k: F.when(F.lead("pos", k).over(own) == F.col("pos") + k, F.lead("rank", k).over(own)) if k else F.col("rank")
-        wanted = [F.when(F.lit(n).between(F.col("shortest"), F.col("longest")), F.struct(F.lit(n).alias("length"), F.col("rank").alias("first"), ahead(n - step).alias("last"))) for n in range(step, 2 * step)]
-        # Rows that repeat an id and text are one document, so one of them is looked at.
-        once = active.dropDuplicates(["id", "row", "pos"])
-        here, here_path = materialise_at(once.select("id", "row", "pos", "rank", "shortest", "longest", ahead(step).alias("next"), F.array_compact(F.array(*wanted)).alias("runs")), "line-runs")
-        discard(spark, path)
-        named = here.select("id", "row", "pos", F.inline("runs")).where("last is not null")
-        interval = ["length", "first", "last"]
-        start = F.struct("id", "row", "pos")
-        repeated = named.groupBy(*interval).agg(F.count("*").alias("n"), F.min(start).alias("original")).where("n > 1").drop("n")
-        later = named.join(repeated, interval).where(start != F.col("original")).select("id", "row", "pos", "length")
-        copies.append(materialise(later, "line-copies"))
-        pairs = here.where(F.col("next").isNotNull())
-        ranked = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rank").alias("a"), F.col("next").alias("b"))
-        ranked = ranked.repartitionByRange("a", "b").sortWithinPartitions("a", "b").select("a", "b", F.monotonically_increasing_id().alias("up"))
-        ranked = materialise(ranked, "line-pairs")
-        joined = pairs.join(ranked, (F.col("rank") == F.col("a")) & (F.col("next") == F.col("b"))).select("id", "row", "pos", F.col("up").alias("rank"), "shortest", "longest")
-        active, path = materialise_at(joined, "line-ranks")
-        discard(spark, here_path)
-        level += 1
-        if not active.where(F.col("longest") >= 2 * step).head(1):
+        asked = state.groupBy("chunk").applyInArrow(_asked(level, bounds, min_words), "bucket bigint, chunk bigint, sent binary")
+        replies = asked.groupBy("bucket").applyInArrow(_answered(level), "chunk bigint, reply binary")
+        step = state.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_advanced(level, min_words, share), f"{schema}, live boolean, n_gone bigint, sample binary")
+        after, _ = materialise_at(step, "line-levels")
+        if not level:
+            discard(spark, path)
+        done.append(after.where("not live and n_gone > 0").select("id", "row", "gone", "n_gone"))
+        state, level = after.where("live").drop("live", "n_gone", "sample"), level + 1
+        if not state.head(1):
             break
-    out = copies[0]
-    for x in copies[1:]:
+        bounds = _bounds(after, buckets)
+    out = done[0]
+    for x in done[1:]:
         out = out.unionByName(x)
     return out
 
 
-def deleted(text: str, runs: list[tuple[int, int]]) -> str:
-    """The text without the soft lines of ``runs`` (position, length); a physical line that loses all of its own goes too."""
-    gone = {x for at, n in runs for x in range(at, at + n)}
+def deleted(text: str, gone: bytes) -> str:
+    """The text without the soft lines marked in ``gone``; a physical line that loses all of its own goes too."""
     whole = text.encode()
     out, pos, before = [], 0, None
     for start, end, line, words in zip(*(x.tolist() for x in soft_lines(whole)), strict=True):
-        if not words or pos not in gone:
+        if not words or not gone[pos]:
             if before == line:
                 out[-1].append(whole[start:end])
             else:
@@ -194,18 +398,17 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     without a copy are unchanged to the byte. ``count_col`` gets the number of
     deleted soft lines. Other columns stay.
     """
-    found = lines(df, id_col=id_col, text_col=text_col, min_words=min_words)
-    found = materialise(found, "lines")
-    runs = repeated_runs(found).groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("pos", "length")).alias("_runs"))
-    joined = df.withColumn("_digest", F.xxhash64(text_col)).join(runs, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_row")), "left")
+    found, path = materialise_at(lines(df, id_col=id_col, text_col=text_col, min_words=min_words), "lines")
+    marked = repeated_lines(found, min_words).select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.col("gone").alias("_gone"), F.col("n_gone").alias("_n"))
+    discard(df.sparkSession, path)
+    joined = df.withColumn("_digest", F.xxhash64(text_col)).join(marked, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_row")), "left")
 
     def cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None or g is None else deleted(t, [(x["pos"], x["length"]) for x in g]) for t, g in zip(texts, gone, strict=True)], dtype=object)
+        return pd.Series([None if t is None or g is None else deleted(t, g) for t, g in zip(texts, gone, strict=True)], dtype=object)
 
-    rest = F.pandas_udf(cut, "string")(F.when(F.col("_runs").isNotNull(), F.col(text_col)), F.col("_runs"))
+    rest = F.pandas_udf(cut, "string")(F.when(F.col("_gone").isNotNull(), F.col(text_col)), F.col("_gone"))
     out = joined.withColumn(text_col, F.coalesce(rest, F.col(text_col)))
     if count_col:
-        covered = F.size(F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["pos"], r["pos"] + r["length"] - 1)))))
-        out = out.withColumn(count_col, F.when(F.col("_runs").isNull(), 0).otherwise(covered).cast("long"))
+        out = out.withColumn(count_col, F.coalesce("_n", F.lit(0)).cast("long"))
         return out.select(*[c for c in df.columns if c != count_col], count_col)
     return out.select(*df.columns)
