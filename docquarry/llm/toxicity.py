@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,8 @@ MIN_COUNT, DISCOUNT = 5, 0.75
 SIGNIFICANT = 16.0
 #: Pull of the curve's weights to zero.
 PULL = 0.1
-UNKNOWN = "\x01"
+#: Number of all words that are too rare for one of their own.
+UNKNOWN = 0
 
 
 @dataclass
@@ -78,11 +80,10 @@ def fold(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % FOLDS, F.lit(0))
 
 
-def _counted(docs: DataFrame, vocabulary, size: int) -> DataFrame:
-    """(gram, n0, n1): texts of each class with the word (size 1) or the bigram over the vocabulary (size 2)."""
+def _counted(docs: DataFrame) -> DataFrame:
+    """(w, n0, n1): texts of each class with the word."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value if vocabulary else None
         counts = (Counter(), Counter())
 
         def batch() -> pa.RecordBatch:
@@ -90,22 +91,49 @@ def _counted(docs: DataFrame, vocabulary, size: int) -> DataFrame:
             out = [pa.array(grams, pa.binary()).cast(pa.string())] + [pa.array([c[g] for g in grams], pa.int64()) for c in counts]
             for c in counts:
                 c.clear()
-            return pa.RecordBatch.from_arrays(out, names=["gram", "n0", "n1"])
+            return pa.RecordBatch.from_arrays(out, names=["w", "n0", "n1"])
 
         for b in batches:
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = words(text)
-                if size == 2:
-                    found = [x if x in known else b"\x01" for x in found]
-                    found = map(b" ".join, zip(found, found[1:]))
-                counts[int(label)].update(set(found))
-                if len(counts[0]) + len(counts[1]) > 300_000:
+                counts[int(label)].update(set(words(text)))
+                if len(counts[0]) + len(counts[1]) > 100_000:
                     yield batch()
         if counts[0] or counts[1]:
             yield batch()
 
-    made = docs.select("text", "label").mapInArrow(rows, "gram string, n0 bigint, n1 bigint")
-    return made.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    made = docs.select("text", "label").mapInArrow(rows, "w string, n0 bigint, n1 bigint")
+    return made.groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _counted_pairs(docs: DataFrame, numbers: Broadcast) -> DataFrame:
+    """(v, w, n0, n1): texts of each class with the bigram, as numbers of words; a word without one is ``UNKNOWN``."""
+    base = len(numbers.value) + 1
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, labels, size = numbers.value, [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            pairs, at = np.unique(np.concatenate(held), return_inverse=True)
+            toxic = np.bincount(at, weights=np.repeat(labels, [len(x) for x in held])).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(np.bincount(at) - toxic), pa.array(toxic)], names=["pair", "n0", "n1"])
+
+        for b in batches:
+            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = words(text)
+                own = np.fromiter((known.get(x, UNKNOWN) for x in found), np.int64, len(found))
+                if len(own) > 1:
+                    held.append(np.unique(own[:-1] * base + own[1:]))
+                    labels.append(int(label))
+                    size += len(held[-1])
+                if size > 1_000_000:
+                    yield batch()
+                    held, labels, size = [], [], 0
+        if size:
+            yield batch()
+
+    made = docs.select("text", "label").mapInArrow(rows, "pair bigint, n0 bigint, n1 bigint")
+    summed = made.groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return summed.select(F.expr(f"pair div {base}L").alias("v"), (F.col("pair") % base).alias("w"), "n0", "n1")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -136,10 +164,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if not sizes.get(0) or not sizes.get(1):
         return Model({}, {}, (4.0 if sizes.get(1) else -4.0, 0.0, 0.0))
     frequent = F.col("n0") + F.col("n1") >= MIN_COUNT
-    vocabulary = spark.sparkContext.broadcast(frozenset(r[0].encode() for r in _counted(counted, None, 1).where(frequent).select("gram").collect()))
-    pairs = _counted(counted, vocabulary, 2).select(F.substring_index("gram", " ", 1).alias("v"), F.substring_index("gram", " ", -1).alias("w"), "n0", "n1")
-    pairs = materialise(pairs, "toxicity-bigrams")
-    words_seen = materialise(_counted(counted, None, 1).where(frequent).withColumnRenamed("gram", "w"), "toxicity-words")
+    # Words of several labelled texts, so as many as the sample allows; numbered from 1.
+    seen = sorted(tuple(r) for r in _counted(counted).where(frequent).collect())
+    if not sum(r[1] for r in seen) or not sum(r[2] for r in seen):
+        return _calibrated(Model({}, {}), rows)
+    numbers = spark.sparkContext.broadcast({r[0].encode(): k for k, r in enumerate(seen, 1)})
+    pairs = materialise(_counted_pairs(counted, numbers), "toxicity-bigrams")
+    words_seen = spark.createDataFrame(pd.DataFrame({"w": range(1, len(seen) + 1), "n0": [r[1] for r in seen], "n1": [r[2] for r in seen]}))
+    words_seen = materialise(words_seen, "toxicity-words")
     contexts = pairs.groupBy("w").agg(F.count("*").alias("contexts"))
     totals = words_seen.agg(*(F.sum(f"n{k}") for k in (0, 1)), *(F.sum((F.col(f"n{k}") > 0).cast("long")) for k in (0, 1)), F.count("*")).first()
     shared = (F.coalesce("contexts", F.lit(0)) + 0.5) / (pairs.count() + 0.5 * totals[4])
@@ -160,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     kept = pairs.where(frequent & told & (F.col("v") != UNKNOWN) & (F.col("w") != UNKNOWN)).join(word, "w").join(after, "v")
     gains = kept.select("v", "w", (F.ln(behind(1) / behind(0)) - F.ln(F.col("p1") / F.col("p0"))).alias("gain"))
     ratios = word.where("p0 <> p1").select("w", F.ln(F.col("p1") / F.col("p0")).alias("ratio"))
-    model = Model({r[0].encode(): r[1] for r in ratios.collect()}, {f"{r[0]} {r[1]}".encode(): r[2] for r in gains.collect()})
+    name = lambda k: seen[k - 1][0]
+    model = Model({name(r[0]).encode(): r[1] for r in ratios.collect()}, {f"{name(r[0])} {name(r[1])}".encode(): r[2] for r in gains.collect()})
     return _calibrated(model, rows)
 
 
