@@ -299,3 +299,13 @@ def test_pipeline_stages(spark, tmp_path):
     # A copy, a leak and the second of two empty texts go; everything else stays.
     assert out >= set(range(40)) | {101, 102}
     assert not out & {103}
+
+
+def test_toxicity_without_frequent_words_in_a_class(spark):
+    docs = spark.createDataFrame([(k, "alpha beta gamma" if k else "delta") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k == 0)) for k in range(40)], "doc_id long, toxic int")
+    assert toxicity.ordinary(docs, labels).count() <= 40
+    rare = spark.createDataFrame([(k, f"word{k}") for k in range(40)], "doc_id long, text string")
+    halves = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    scores = {round(r[0], 9) for r in rare.select(toxicity.score(rare["text"], toxicity.fit(rare, halves), rare)).collect()}
+    assert len(scores) == 1 and 0 <= scores.pop() <= 1
