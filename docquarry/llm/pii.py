@@ -114,13 +114,17 @@ def disclosing_terms(docs: DataFrame, marked: DataFrame, *, text_col: str = "tex
     """(term, kind, disclosure) of the terms that reveal protected entities; the strongest kind of each.
 
     ``marked`` has the base spans (``spans``) and contexts (``near``) of every
-    row of ``docs``. Counting is over all rows; every count is combined in the
-    tasks before it is shuffled.
+    row of ``docs``. Documents are counted as rows in all four numbers, so copies
+    weigh alike in each; only the support is of different entities. Every count
+    is combined in the tasks before it is shuffled.
     """
     total = marked.count()
     kinds = marked.select(F.explode(F.array_distinct(F.col("spans.kind"))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n_kind"))
-    beside = marked.where(F.size("near") > 0).select("row", F.inline("near")).select("row", "kind", "match", F.explode("terms").alias("term")).distinct()
-    pairs = beside.groupBy("kind", "term").agg(F.countDistinct("match").alias("support"), F.countDistinct("row").alias("n_both")).where(F.col("support") >= support)
+    near = marked.where(F.size("near") > 0).select("near")
+    each = F.array_distinct(F.flatten(F.transform("near", lambda s: F.transform(s["terms"], lambda t: F.struct(s["kind"].alias("kind"), t.alias("term"))))))
+    both = near.select(F.inline(each)).groupBy("kind", "term").agg(F.count("*").alias("n_both"))
+    stood = near.select(F.inline("near")).select("kind", "match", F.explode("terms").alias("term")).distinct()
+    pairs = stood.groupBy("kind", "term").agg(F.count("*").alias("support")).where(F.col("support") >= support).join(both, ["kind", "term"])
     pairs = materialise(pairs.join(kinds, "kind"), "pii-pairs")
     wanted = pairs.select("term").distinct()
     frequency = docs.select(F.explode(terms_of(F.col(text_col))).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_term"))

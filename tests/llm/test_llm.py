@@ -178,6 +178,14 @@ def test_pii_terms_that_disclose(spark):
     assert not got[200]["spans"]
 
 
+def test_pii_terms_count_copies_alike(spark):
+    held = [(k, f"{prose(k, 20)} contact zyxel person{k}@mail.org now {prose(k + 500, 20)}") for k in range(6)]
+    rows = held + [(1000 + k, held[0][1]) for k in range(80)] + [(k, prose(k, 40)) for k in range(100, 400)]
+    got = {r["doc_id"]: r for r in pii.detect(frame(spark, rows)).collect()}
+    assert all(any(s["kind"] == "term" and s["match"] == "zyxel" for s in got[k]["spans"]) for k in (0, 5, 1000, 1079))
+    assert not got[200]["spans"]
+
+
 def test_secrets_base_and_novel():
     key = "q7Zk2Vb9Xw4LtR8mPd3NcF6h"
     found = secrets.spans(f'😀 password = "hunter22x" and AKIA{"B" * 12} {"0f" * 16} bearer {key} bearer configuration_parameter_value')
