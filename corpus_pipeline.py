@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import decontaminate, linededup, packing, simhash, tokenfile, toxicity
+from docquarry.llm import decontaminate, linededup, nearsets, packing, tokenfile, toxicity
 from docquarry.llm.common import materialise
 
 
@@ -25,8 +25,8 @@ def delete_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group linked by a Jaccard similarity of 0.8 of their five-word shingles."""
+    return nearsets.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -317,3 +317,41 @@ def test_toxicity_without_frequent_words_in_a_class(spark):
     halves = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
     scores = {round(r[0], 9) for r in rare.select(toxicity.score(rare["text"], toxicity.fit(rare, halves), rare)).collect()}
     assert len(scores) == 1 and 0 <= scores.pop() <= 1
+
+
+def test_near_duplicate_stage_finds_all_pairs_at_jaccard(spark, monkeypatch):
+    import corpus_pipeline
+    from docquarry.llm import nearsets
+
+    # Small, so that shingles are dealt out as pairs of blocks.
+    monkeypatch.setattr(nearsets, "BLOCK", 4)
+    rng, rows = random.Random(8), [(k, t) for k, t in ODD if k is not None] + [(7, prose(3, 4)), (8, prose(3, 4).upper())]
+    hot = prose(4, 12)
+    for k in range(40):  # one common passage, then copies with words changed
+        base = (prose(100 + k, rng.randrange(10, 150)) + " " + hot).split()
+        for c in range(5):
+            other = list(base)
+            for _ in range(c * len(base) // 100 + (c > 0)):
+                other[rng.randrange(len(other))] = f"new{rng.random()}"
+            rows.append((1000 * c + 100 + k, " ".join(other)))
+    sets = []
+    for _, t in rows:
+        w = [x.lower() for x in (t or "").split()]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    near = lambda x, y: x == y or 10 * len(x & y) >= 8 * len(x | y)
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if near(sets[i], sets[j])]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        root[find(i)] = find(j)
+    want = {min(rows[j][0] for j in range(len(rows)) if find(j) == find(i)) for i in range(len(rows))}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == want
+    # Links of all pairs, not only of those that a fingerprint of three bits holds.
+    assert len({r["doc_id"] for r in simhash.keep_one(docs).collect()}) > len(want)
+    assert nearsets.keep_one(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
