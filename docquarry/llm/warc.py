@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 END = "\r\n"
 #: Stated in the records, not taken from a clock, so that results repeat.
 DATE = "2024-01-01T00:00:00Z"
-#: Entities that are written out in plain text; numeric ones below as well.
+#: Entities that are written out in plain text; others, numeric ones too, stay encoded.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&middot;": "·", "&hellip;": "…", "&mdash;": "—", "&ndash;": "–", "&amp;": "&"}
 
 
