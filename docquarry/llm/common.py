@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,44 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Scratch tables of one operator, deleted together once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = materialise_at(df, name)
+        self.paths.append(path)
+        return out
+
+    def clear(self) -> None:
+        for path in self.paths:
+            discard(self.spark, path)
+        self.paths = []
+
+
+def release() -> None:
+    """Hand freed memory back to the system: reused Python workers would keep it from one stage to the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def released(batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` that releases its memory when its task ends."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from batches(found)
+        finally:
+            release()
+
+    return run
+
+
 def bounded_arrow(spark: SparkSession) -> None:
     """Lower the rows per Arrow batch to ``ARROW_ROWS`` so that long texts fit a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OUT_BYTES, bounded_arrow
+from .common import OUT_BYTES, bounded_arrow, released
 from .tokens import encoder, public
 
 #: Tokens of a sequence.
@@ -169,7 +169,7 @@ def pack(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", token
             yield batch()
 
     name = df.schema[id_col].dataType.simpleString()
-    made = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, f"doc_id {name}, start bigint, length bigint, ids array<int>, doc_tokens bigint, sequence_id bigint, offset bigint")
+    made = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(rows), f"doc_id {name}, start bigint, length bigint, ids array<int>, doc_tokens bigint, sequence_id bigint, offset bigint")
     return made.withColumnRenamed("doc_id", id_col)
 
 

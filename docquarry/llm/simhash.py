@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_arrow, discard, materialise, materialise_at, utf8
+from .common import bounded_arrow, discard, materialise, materialise_at, released, utf8
 
 SEED = 42
 #: Bits in which linked fingerprints may differ, segments of the ring, and words of a shingle.
@@ -46,7 +46,12 @@ def _fingerprint(text: bytes, words: int) -> int:
         for k in range(1, words):
             joined = list(map(b" ".join, zip(joined, found[k:])))
         hashes = [digest(x, SEED) for x in joined]
-    raw = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Of 64-bit hashes the bits that are set in over half of them, as a signed long; zero for none."""
+    raw = hashes.view(np.uint8).reshape(-1, 8)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(raw), 1 << 16):  # a slice at a time: a very long text stays small
         ones += np.unpackbits(raw[at : at + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -68,7 +73,7 @@ def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([b.column(0), found], names=[id_col, "fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(rows, f"`{id_col}` {kind}, fp bigint")
+    return df.select(id_col, text_col).mapInArrow(released(rows), f"`{id_col}` {kind}, fp bigint")
 
 
 def _chain_keys(distinct: DataFrame) -> DataFrame:
@@ -150,7 +155,7 @@ def links(distinct: DataFrame) -> DataFrame:
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("b"))
     far = own.select("k", F.explode(others).alias("o"), "b", "r").select("k", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "r")
     grouped = near.unionByName(far).repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "r")
-    return grouped.mapInArrow(_forest, "a bigint, b bigint")
+    return grouped.mapInArrow(released(_forest), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import OUT_BYTES, bounded_arrow
+from .common import OUT_BYTES, bounded_arrow, released
 from .tokens import encoder, public
 
 END_ID = 2
@@ -68,7 +68,7 @@ def write(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "
 
     name = df.schema[id_col].dataType.simpleString()
     ordered = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    encoded = ordered.mapInArrow(rows, f"doc_id {name}, shard int, before bigint, n_tokens bigint, ids array<int>")
+    encoded = ordered.mapInArrow(released(rows), f"doc_id {name}, shard int, before bigint, n_tokens bigint, ids array<int>")
     options = {"compression": "zstd", "orc.stripe.size": STRIPE_BYTES, "orc.create.index": "true", "orc.row.index.stride": INDEX_ROWS, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01}
     encoded.write.options(**options).orc(path)
 
@@ -97,4 +97,4 @@ def digests(rows: DataFrame, *, ids_col: str = "ids", keep: list[str]) -> DataFr
             columns = [*b.columns[: len(keep)], pa.array(np.diff(offsets).astype(np.int64)), pa.array([zlib.crc32(raw[x:y]) for x, y in ends], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", "ids_crc32"])
 
-    return rows.select(*keep, F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids")).mapInArrow(crc, f"{schema}, n_tokens bigint, ids_crc32 bigint")
+    return rows.select(*keep, F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids")).mapInArrow(released(crc), f"{schema}, n_tokens bigint, ids_crc32 bigint")

@@ -7,7 +7,8 @@ characters. A text may therefore be cut there and its chunks encoded apart;
 the ids joined are those of the whole text. Natural text repeats its words, so
 most chunks are found in a dictionary and the library sees each only once.
 Whatever is not plainly of that shape (tabs, doubled spaces, empty lines,
-invisible characters) stays inside a larger chunk.
+invisible characters) stays inside a larger chunk. A text that holds the string
+of an added token (``<|endoftext|>``) goes to the library whole.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ import os
 import re
 import struct
 
-#: Chunks in each of the two generations that a worker remembers: a full young one becomes the old one.
-REMEMBERED = 500_000
+#: Chunks in each of the two generations that a worker remembers, some 20 MB: a full young one becomes the old one.
+REMEMBERED = 100_000
 #: Longer chunks are not remembered.
 LONGEST = 64
 
@@ -72,18 +73,26 @@ class _Chunks(dict):
 
 
 class Encoder:
+    """The library's ``encode(text, add_special_tokens=False)`` with the file as it is loaded.
+
+    A null text is empty. Equal texts get equal ids, whatever came before.
+    """
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        self._tokenizer = tokenizer = Tokenizer.from_file(path)
+        added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+        self._added = re.compile("|".join(map(re.escape, added))) if added else None
         self._first, self._later = _Chunks(tokenizer, ""), _Chunks(tokenizer, " ")
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text, packed; empty for null or empty text."""
         if not text:
             return b""
+        if self._added and self._added.search(text):
+            return _Chunks._packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
         first, later = self._first, self._later
         lines = text.split("\n")
         if "  " in text or not all(x and x[0] != " " and x[-1] != " " and x.isprintable() for x in lines):
