@@ -31,13 +31,11 @@ def frame(spark, rows, extra: bool = True):
 def plain_ids(name: str, text: str | None) -> list[int]:
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.public(name))
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(tokens.public(name)).encode(text or "", add_special_tokens=False).ids
 
 
 def test_tokens_equal_the_whole_text():
-    cases = ["", "Hello, world", " lead", "a  b\n\nc\td ", "it's 3.14 o'clock", "ÄÖ é x", "<|endoftext|> a", "😀 b c", "İstanbul ẞ", prose(1, 200)]
+    cases = ["", "Hello, world", " lead", "a  b\n\nc\td ", "it's 3.14 o'clock", "ÄÖ é x", "<|endoftext|> a", "a <|endoftext|> b", "x<|startoftext|>y z", "<|endoftext", "😀 b c", "İstanbul ẞ", prose(1, 200)]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         for text in cases:
             assert np.frombuffer(tokens.Encoder(tokens.public(name)).encode(text), "<u4").tolist() == plain_ids(name, text), (name, text)
@@ -242,13 +240,15 @@ def test_decontamination_by_brute_force(spark):
         return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
-    for size in (decontaminate.BLOCK_BYTES, 200):
-        found = decontaminate.report(frame(spark, rows), benchmark) if size > 200 else None
-        if found is not None:
-            assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, ((i, *brute(t)) for i, t in rows)))
-        else:
-            parts = frame(spark, rows).select("doc_id", "text", F.size(decontaminate.hits(F.col("text"), benchmark, block_bytes=size)["hits"]).alias("n")).collect()
-            assert all(r["n"] == brute(r["text"])[1] for r in parts)
+    for size in (decontaminate.BLOCK_BYTES, 200):  # one block, and several
+        docs = frame(spark, rows).withColumns({"h": F.lit(1), "hits": F.lit(2), "kept": F.lit(3)})
+        found = decontaminate.report(docs, benchmark, block_bytes=size)
+        assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, ((i, *brute(t)) for i, t in rows)))
+        clean = decontaminate.decontaminate(docs, benchmark, block_bytes=size)
+        assert clean.columns == docs.columns
+        assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(i) for i, t in rows if not brute(t)[4])
+    assert decontaminate.report(frame(spark, []), benchmark).count() == 0
+    assert not decontaminate.report(frame(spark, rows), benchmark.limit(0)).where("contaminated").count()
 
 
 def test_warc_records_link(spark):
@@ -319,6 +319,27 @@ def test_toxicity_without_frequent_words_in_a_class(spark):
     assert len(scores) == 1 and 0 <= scores.pop() <= 1
 
 
+def test_toxicity_probabilities_and_contexts_by_brute_force(spark):
+    n, contexts = np.array([[40, 0], [3, 9], [0, 0.0], [1, 1]]), np.array([5, 0, 7, 2])
+    p = toxicity.word_probabilities(n, contexts)
+    assert np.allclose(p.sum(axis=0), 1) and (p > 0).all()
+    shared = (contexts + 0.5) / 16
+    for c in (0, 1):
+        for k in range(4):
+            want = (max(n[k, c] - 0.75, 0) + 0.75 * sum(x > 0 for x in n[:, c]) * shared[k]) / n[:, c].sum()
+            assert abs(p[k, c] - want) < 1e-12
+    # After one context: words 0 and 1 followed it, in 3 and 1 texts; the rest share what the discounts freed.
+    behind = toxicity.bigram_probability(np.array([3, 1, 0, 0]), np.full(4, 4), np.full(4, 2), p[:, 0])
+    assert abs(behind.sum() - 1) < 1e-12 and (behind > 0).all()
+    assert np.allclose(toxicity.bigram_probability(np.zeros(4), np.zeros(4), np.zeros(4), p[:, 1]), p[:, 1])
+    texts = ["a b c b", "b c, A b", "c", "", None, "z b b"]
+    docs = spark.createDataFrame([(x,) for x in texts * 3], "text string")
+    vocabulary = spark.sparkContext.broadcast({b"b": 1, b"c": 2})
+    got = {r["w"]: r["contexts"] for r in toxicity._contexts(docs, vocabulary, "text").collect()}
+    want = {0: {"c"}, 1: {"a", "c", "z", "b"}, 2: {"b"}}
+    assert got == {k: len(v) for k, v in want.items()}
+
+
 def test_near_duplicate_stage_finds_all_pairs_at_jaccard(spark, monkeypatch):
     import corpus_pipeline
     from docquarry.llm import nearsets
