@@ -1,13 +1,16 @@
-"""Near-duplicates by exact Jaccard similarity of five-word shingle sets.
+"""Near-duplicates by SimHash and exact Jaccard similarity of five-word shingle sets.
 
-Sets are ordered by how often a shingle occurs in a sample, then by hash. By the
+The pigeonring chains of ``simhash`` propose pairs of fingerprints of the
+shingles, which must prove a similarity of 0.8 on their whole sets. Fingerprints
+miss most pairs near that bound, so a second search completes them: sets are ordered by how often a shingle occurs in a sample, then by hash. By the
 pigeonhole principle two sets of similarity 0.8 share one of the first
 ``n - ceil(0.8 * n) + 1`` shingles of each, whatever the order; the sample only
 keeps common shingles out of these prefixes. Pairs under a shared shingle must
 pass the bound on their difference before their whole sets are compared.
 
-First each set is compared with one other under each of its shingles, which
-joins groups of copies at a cost in proportion to the rows. Then only shingles
+First each set is compared with one other under each of its shingles, and with
+those that the fingerprints propose, which joins groups of copies at a cost in
+proportion to the rows. Then only shingles
 that still hold sets of different groups have all such pairs compared, in
 bounded blocks. So the groups are exactly those of all similar pairs.
 """
@@ -21,13 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OUT_BYTES, bounded_arrow, materialise, utf8
+from . import simhash
+from .common import OUT_BYTES, Scratch, bounded_arrow, materialise, released, utf8
 from .simhash import BLOCK, SEED, components
 
 #: Words of a shingle; sets are linked from a similarity of 4 / 5 on.
 SHINGLE = 5
 #: Sets (in expectation) in which shingles are counted for the order, and the count from which one is common.
 SAMPLE, COMMON = 20_000, 3
+#: Digests of sets, 8 bytes each, up to which they are broadcast.
+BROADCAST = 1_000_000
 
 
 def _shingles(text: bytes) -> np.ndarray:
@@ -42,7 +48,7 @@ def _shingles(text: bytes) -> np.ndarray:
 
 
 def sets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, s, own): a digest of each row's shingle set, and the set's sorted hashes where a task meets it first."""
+    """(id, s, own, fp): a digest of each row's shingle set; the set's sorted hashes and its fingerprint where a task meets it first."""
     bounded_arrow(df.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,28 +56,30 @@ def sets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Da
 
         seen: set[int] = set()
         for b in batches:
-            at, digests, owns, held = 0, [], [], 0
+            at, digests, owns, prints, held = 0, [], [], [], 0
 
-            def batch(at: int, digests: list, owns: list) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([b.column(0).slice(at, len(owns)), pa.array(digests, pa.int64()), pa.array(owns, pa.binary())], names=[id_col, "s", "own"])
+            def batch(at: int, digests: list, owns: list, prints: list) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([b.column(0).slice(at, len(owns)), pa.array(digests, pa.int64()), pa.array(owns, pa.binary()), pa.array(prints, pa.int64())], names=[id_col, "s", "own", "fp"])
 
             for text in utf8(b.column(1)):
-                own = _shingles(text).tobytes()
+                hashes = _shingles(text)
+                own = hashes.tobytes()
                 digest = int(np.uint64(xxhash.xxh64_intdigest(own, SEED)).view(np.int64))
                 if len(seen) > 1_000_000:
                     seen.clear()
                 digests.append(digest)
                 owns.append(None if digest in seen else own)
+                prints.append(None if digest in seen else simhash.majority(hashes))
                 held += len(owns[-1] or b"")
                 seen.add(digest)
                 if held > OUT_BYTES:
-                    yield batch(at, digests, owns)
-                    at, digests, owns, held = at + len(owns), [], [], 0
+                    yield batch(at, digests, owns, prints)
+                    at, digests, owns, prints, held = at + len(owns), [], [], [], 0
             if owns:
-                yield batch(at, digests, owns)
+                yield batch(at, digests, owns, prints)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(rows, f"`{id_col}` {kind}, s bigint, own binary")
+    return df.select(id_col, text_col).mapInArrow(released(rows), f"`{id_col}` {kind}, s bigint, own binary, fp bigint")
 
 
 def _common(own: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +91,7 @@ def _common(own: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8"))], names=["h"])
 
     drawn = own.where(F.pmod(F.xxhash64("s"), F.lit(max(1, total // SAMPLE))) == 0).dropDuplicates(["s"]).select("own")
-    found = drawn.mapInArrow(rows, "h bigint").groupBy("h").count().where(F.col("count") >= COMMON).toPandas().sort_values("h")
+    found = drawn.mapInArrow(released(rows), "h bigint").groupBy("h").count().where(F.col("count") >= COMMON).toPandas().sort_values("h")
     return found["h"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
 
 
@@ -110,7 +118,7 @@ def _prefixes(own: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(made, axis=1)], names=["k", "n", "s", "i"])
 
-    return own.select("s", "own").mapInArrow(rows, "k bigint, n bigint, s bigint, i bigint")
+    return own.select("s", "own").mapInArrow(released(rows), "k bigint, n bigint, s bigint, i bigint")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,24 +150,50 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out(np.empty((4, 0), np.int64), True)
 
 
-def _pairs(group: pa.Table) -> pa.Table:
-    """Of the sets of one block: pairs of different groups that can be similar if this shingle is the first they share."""
-    n, s, i, root = (group[c].to_numpy() for c in ("n", "s", "i", "root"))
-    a, b = [], []
-    for at in range(0, len(s), 256):
-        own = slice(at, at + 256)
-        apart = i[own, None] + i[None, :] + np.abs((n - i)[own, None] - (n - i)[None, :])
-        x, y = np.nonzero((9 * apart <= n[own, None] + n[None, :]) & (root[own, None] != root[None, :]) & (s[own, None] < s[None, :]))
-        a.append(s[own][x])
-        b.append(s[y])
-    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by block: pairs of sets of different groups that can be similar if this shingle is the first they share."""
+    held = np.empty((7, 0), np.int64)
+
+    def of_block(n: np.ndarray, s: np.ndarray, i: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(s), 256):
+            own = slice(at, at + 256)
+            apart = i[own, None] + i[None, :] + np.abs((n - i)[own, None] - (n - i)[None, :])
+            x, y = np.nonzero((9 * apart <= n[own, None] + n[None, :]) & (root[own, None] != root[None, :]) & (s[own, None] < s[None, :]))
+            if len(x):
+                yield np.stack([s[own][x], s[y]])
+
+    def out(x: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        x = np.concatenate([held, x], axis=1)
+        edges = np.flatnonzero((x[:3, 1:] != x[:3, :-1]).any(axis=0)) + 1
+        bounds = np.concatenate([[0], edges, [x.shape[1]]])
+        if not last:
+            held, bounds = x[:, bounds[-2] :], bounds[:-1]
+        found, size = [], 0
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if hi - lo > 1:
+                for pairs in of_block(*x[3:, lo:hi]):
+                    found.append(pairs)
+                    size += pairs.shape[1]
+                    if size > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, axis=1)], names=["a", "b"])
+                        found, size = [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, axis=1)], names=["a", "b"])
+
+    for b in batches:
+        yield from out(np.stack([np.asarray(c) for c in b.columns]).astype(np.int64), False)
+    yield from out(np.empty((7, 0), np.int64), True)
 
 
 def _similar(pairs: DataFrame, own: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have a similarity of 4 / 5 at least."""
-    pairs = materialise(pairs.distinct(), "nearsets-pairs")
-    nodes = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
-    wanted = materialise(own.join(nodes, "s", "left_semi").dropDuplicates(["s"]), "nearsets-wanted")
+    scratch = Scratch(own.sparkSession)
+    pairs = scratch.keep(pairs.distinct(), "nearsets-pairs")
+    nodes = scratch.keep(pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct(), "nearsets-asked")
+    # Few names go to where the sets are; many are joined by a shuffle.
+    few = F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes
+    wanted = scratch.keep(own.select("s", "own").join(few, "s", "left_semi").dropDuplicates(["s"]), "nearsets-wanted")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,25 +206,42 @@ def _similar(pairs: DataFrame, own: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(kept, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
     joined = pairs.join(wanted.select(F.col("s").alias("a"), F.col("own").alias("x")), "a").join(wanted.select(F.col("s").alias("b"), F.col("own").alias("y")), "b")
-    return materialise(joined.select("a", "b", "x", "y").mapInArrow(rows, "a bigint, b bigint"), "nearsets-links")
+    found = materialise(joined.select("a", "b", "x", "y").mapInArrow(released(rows), "a bigint, b bigint"), "nearsets-links")
+    scratch.clear()
+    return found
+
+
+def _proposed(own: DataFrame) -> DataFrame:
+    """(a, b): sets whose fingerprints the pigeonring chains link; of sets with one fingerprint the least stands for them."""
+    prints = own.groupBy("fp", "s").agg(F.lit(1)).select("fp", "s")
+    first = prints.groupBy("fp").agg(F.min("s").alias("lead"))
+    equal = prints.join(first, "fp").where("s <> lead").select(F.col("lead").alias("a"), F.col("s").alias("b"))
+    near = simhash.links(first.select("fp")).where("a <> b").distinct()
+    of = lambda c: first.select(F.col("fp").alias(c), F.col("lead").alias(f"{c}_set"))
+    linked = near.join(of("a"), "a").join(of("b"), "b").select(F.least("a_set", "b_set").alias("a"), F.greatest("a_set", "b_set").alias("b"))
+    return equal.unionByName(linked)
 
 
 def links(own: DataFrame, total: int) -> DataFrame:
     """Links (a, b) between digests of sets that connect exactly those joined by steps of similarity 4 / 5."""
+    scratch = Scratch(own.sparkSession)
     keyed = _prefixes(own, _common(own, total)).repartition("k").sortWithinPartitions("k", "n", "s")
-    shared = materialise(keyed.mapInArrow(_shared, "k bigint, n bigint, s bigint, i bigint, lead bigint"), "nearsets-shared")
-    first = _similar(shared.where("s <> lead").select(F.least("s", "lead").alias("a"), F.greatest("s", "lead").alias("b")), own)
+    shared = scratch.keep(keyed.mapInArrow(released(_shared), "k bigint, n bigint, s bigint, i bigint, lead bigint"), "nearsets-shared")
+    lead = shared.where("s <> lead").select(F.least("s", "lead").alias("a"), F.greatest("s", "lead").alias("b"))
+    first = _similar(lead.unionByName(_proposed(own)), own)
     named = shared.join(components(first), F.col("s") == F.col("node"), "left").select("k", "n", "s", "i", F.coalesce("root", "s").alias("root"))
-    named = materialise(named, "nearsets-named")
+    named = scratch.keep(named, "nearsets-named")
     mixed = named.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high")
-    mixed = materialise(mixed.select("k", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "nearsets-mixed")
+    mixed = scratch.keep(mixed.select("k", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "nearsets-mixed")
     own_block = named.join(mixed, "k").withColumn("b", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int"))
     # Block b of a large key meets every block: pairs (i, j) with i < j hold both.
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("b")) | (F.col("blocks") == 1))
     dealt = own_block.select("k", F.explode(others).alias("o"), "b", "n", "s", "i", "root")
     dealt = dealt.select("k", F.least("b", "o").alias("low"), F.greatest("b", "o").alias("high"), "n", "s", "i", "root")
-    rest = dealt.groupBy("k", "low", "high").applyInArrow(_pairs, "a bigint, b bigint")
-    return first.unionByName(_similar(rest, own))
+    dealt = dealt.repartition("k", "low", "high").sortWithinPartitions("k", "low", "high")
+    rest = _similar(dealt.mapInArrow(released(_pairs), "a bigint, b bigint"), own)
+    scratch.clear()
+    return first.unionByName(rest)
 
 
 def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,11 +253,14 @@ def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     id are one document and share its fate; rows without an id stay when their
     group has no id.
     """
+    scratch = Scratch(df.sparkSession)
     marks = materialise(sets(df, id_col=id_col, text_col=text_col), "nearsets")
-    own = marks.where(F.col("own").isNotNull()).select("s", "own")
-    nodes = materialise(marks.groupBy("s").agg(F.min(id_col).alias("least")), "nearsets-nodes")
+    own = marks.where(F.col("own").isNotNull()).select("s", "own", "fp")
+    nodes = scratch.keep(marks.groupBy("s").agg(F.min(id_col).alias("least")), "nearsets-nodes")
     roots = components(links(own, nodes.count()))
-    joined = materialise(nodes.join(roots, nodes["s"] == roots["node"], "left").select("s", "least", F.coalesce("root", "s").alias("root")), "nearsets-roots")
+    joined = scratch.keep(nodes.join(roots, nodes["s"] == roots["node"], "left").select("s", "least", F.coalesce("root", "s").alias("root")), "nearsets-roots")
     named = joined.join(joined.groupBy("root").agg(F.min("least").alias("group")), "root").select("s", "group")
     later = marks.select(id_col, "s").join(named, "s").where(F.col(id_col) != F.col("group")).select(F.col(id_col).alias("_later")).distinct()
+    later = materialise(later, "nearsets-later")
+    scratch.clear()
     return df.join(later, df[id_col] == later["_later"], "left_anti")
