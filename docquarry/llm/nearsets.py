@@ -6,7 +6,8 @@ miss most pairs near that bound, so a second search completes them: sets are ord
 pigeonhole principle two sets of similarity 0.8 share one of the first
 ``n - ceil(0.8 * n) + 1`` shingles of each, whatever the order; the sample only
 keeps common shingles out of these prefixes. Pairs under a shared shingle must
-pass the bound on their difference before their whole sets are compared.
+pass the bound on their difference, and one on how many hashes they can share by
+the sizes of ``PARTS`` parts of each set, before their whole sets are compared.
 
 First each set is compared with one other under each of its shingles, and with
 those that the fingerprints propose, which joins groups of copies at a cost in
@@ -31,7 +32,11 @@ from .simhash import BLOCK, SEED, components
 #: Words of a shingle; sets are linked from a similarity of 4 / 5 on.
 SHINGLE = 5
 #: Sets (in expectation) in which shingles are counted for the order, and the count from which one is common.
-SAMPLE, COMMON = 20_000, 3
+SAMPLE, COMMON = 10_000, 3
+#: Share of a prefix that sets have in common from which they are compared before the exact search, to join copies cheaply.
+COPIES = 0.3
+#: Parts of a set whose sizes are compared first, and the largest size that is told.
+PARTS, FULL = 128, 255
 #: Digests of sets, 8 bytes each, up to which they are broadcast.
 BROADCAST = 1_000_000
 
@@ -47,8 +52,20 @@ def _shingles(text: bytes) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in joined], dtype="<u8").view("<i8"))
 
 
+def _sizes(hashes: np.ndarray) -> bytes:
+    """Hashes in each part, by their lowest bits; ``FULL`` stands for that many and more."""
+    return np.minimum(np.bincount(hashes & (PARTS - 1), minlength=PARTS), FULL).astype(np.uint8).tobytes()
+
+
+def _possible(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """For pairs of sets whether they can have a similarity of 4 / 5 by the sizes of their parts."""
+    x, y = (np.frombuffer(b"".join(a), np.uint8).reshape(-1, PARTS).astype(np.int64) for a in (x, y))
+    both = np.minimum(x, y)
+    return (9 * both.sum(axis=1) >= 4 * (x.sum(axis=1) + y.sum(axis=1))) | (x == FULL).any(axis=1) | (y == FULL).any(axis=1)
+
+
 def sets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, s, own, fp): a digest of each row's shingle set; the set's sorted hashes and its fingerprint where a task meets it first."""
+    """(id, s, own, fp, sizes): a digest of each row's shingle set; the set's sorted hashes, its fingerprint and the sizes of its parts where a task meets it first."""
     bounded_arrow(df.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,10 +73,10 @@ def sets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Da
 
         seen: set[int] = set()
         for b in batches:
-            at, digests, owns, prints, held = 0, [], [], [], 0
+            at, digests, owns, prints, sizes, held = 0, [], [], [], [], 0
 
-            def batch(at: int, digests: list, owns: list, prints: list) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([b.column(0).slice(at, len(owns)), pa.array(digests, pa.int64()), pa.array(owns, pa.binary()), pa.array(prints, pa.int64())], names=[id_col, "s", "own", "fp"])
+            def batch(at: int, digests: list, owns: list, prints: list, sizes: list) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([b.column(0).slice(at, len(owns)), pa.array(digests, pa.int64()), pa.array(owns, pa.binary()), pa.array(prints, pa.int64()), pa.array(sizes, pa.binary())], names=[id_col, "s", "own", "fp", "sizes"])
 
             for text in utf8(b.column(1)):
                 hashes = _shingles(text)
@@ -70,16 +87,17 @@ def sets(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Da
                 digests.append(digest)
                 owns.append(None if digest in seen else own)
                 prints.append(None if digest in seen else simhash.majority(hashes))
+                sizes.append(None if digest in seen else _sizes(hashes))
                 held += len(owns[-1] or b"")
                 seen.add(digest)
                 if held > OUT_BYTES:
-                    yield batch(at, digests, owns, prints)
-                    at, digests, owns, prints, held = at + len(owns), [], [], [], 0
+                    yield batch(at, digests, owns, prints, sizes)
+                    at, digests, owns, prints, sizes, held = at + len(owns), [], [], [], [], 0
             if owns:
-                yield batch(at, digests, owns, prints)
+                yield batch(at, digests, owns, prints, sizes)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(released(rows), f"`{id_col}` {kind}, s bigint, own binary, fp bigint")
+    return df.select(id_col, text_col).mapInArrow(released(rows), f"`{id_col}` {kind}, s bigint, own binary, fp bigint, sizes binary")
 
 
 def _common(own: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +108,7 @@ def _common(own: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
             for x in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8"))], names=["h"])
 
-    drawn = own.where(F.pmod(F.xxhash64("s"), F.lit(max(1, total // SAMPLE))) == 0).dropDuplicates(["s"]).select("own")
+    drawn = own.where(F.pmod(F.xxhash64("s"), F.lit(max(1, total // SAMPLE))) == 0).select("own")
     found = drawn.mapInArrow(released(rows), "h bigint").groupBy("h").count().where(F.col("count") >= COMMON).toPandas().sort_values("h")
     return found["h"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
 
@@ -189,7 +207,16 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _similar(pairs: DataFrame, own: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have a similarity of 4 / 5 at least."""
     scratch = Scratch(own.sparkSession)
-    pairs = scratch.keep(pairs.distinct(), "nearsets-pairs")
+    sizes = own.select("s", "sizes").dropDuplicates(["s"])
+
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = pa.array(_possible(b.column(2).to_pylist(), b.column(3).to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(kept) for c in (0, 1)], names=["a", "b"])
+
+    of = lambda c, name: sizes.select(F.col("s").alias(c), F.col("sizes").alias(name))
+    sized = pairs.distinct().join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
+    pairs = scratch.keep(sized.mapInArrow(released(fitting), "a bigint, b bigint"), "nearsets-pairs")
     nodes = scratch.keep(pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct(), "nearsets-asked")
     # Few names go to where the sets are; many are joined by a shuffle.
     few = F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes
@@ -227,7 +254,9 @@ def links(own: DataFrame, total: int) -> DataFrame:
     scratch = Scratch(own.sparkSession)
     keyed = _prefixes(own, _common(own, total)).repartition("k").sortWithinPartitions("k", "n", "s")
     shared = scratch.keep(keyed.mapInArrow(released(_shared), "k bigint, n bigint, s bigint, i bigint, lead bigint"), "nearsets-shared")
-    lead = shared.where("s <> lead").select(F.least("s", "lead").alias("a"), F.greatest("s", "lead").alias("b"))
+    # Copies share much of their prefixes; pairs that share less are left to the exact search below.
+    lead = shared.where("s <> lead").groupBy(F.least("s", "lead").alias("a"), F.greatest("s", "lead").alias("b")).agg(F.count("*").alias("both"), F.min("n").alias("n"))
+    lead = lead.where(F.col("both") >= COPIES * (F.col("n") - F.ceil(0.8 * F.col("n")) + 1)).select("a", "b")
     first = _similar(lead.unionByName(_proposed(own)), own)
     named = shared.join(components(first), F.col("s") == F.col("node"), "left").select("k", "n", "s", "i", F.coalesce("root", "s").alias("root"))
     named = scratch.keep(named, "nearsets-named")
@@ -255,7 +284,7 @@ def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     """
     scratch = Scratch(df.sparkSession)
     marks = materialise(sets(df, id_col=id_col, text_col=text_col), "nearsets")
-    own = marks.where(F.col("own").isNotNull()).select("s", "own", "fp")
+    own = marks.where(F.col("own").isNotNull()).select("s", "own", "fp", "sizes")
     nodes = scratch.keep(marks.groupBy("s").agg(F.min(id_col).alias("least")), "nearsets-nodes")
     roots = components(links(own, nodes.count()))
     joined = scratch.keep(nodes.join(roots, nodes["s"] == roots["node"], "left").select("s", "least", F.coalesce("root", "s").alias("root")), "nearsets-roots")
