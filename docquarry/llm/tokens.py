@@ -17,8 +17,8 @@ import os
 import re
 import struct
 
-#: Chunks in each of the two generations that a worker remembers, some 20 MB: a full young one becomes the old one.
-REMEMBERED = 100_000
+#: Chunks in each of the two generations that a worker remembers, some 50 MB: a full young one becomes the old one.
+REMEMBERED = 250_000
 #: Longer chunks are not remembered.
 LONGEST = 64
 
