@@ -83,3 +83,26 @@ def unescape(text: Column) -> Column:
 def url_part(url: Column, part: str) -> Column:
     """``HOST``, ``PATH`` or ``QUERY``; null where the URL cannot be parsed."""
     return F.try_parse_url(url, F.lit(part))
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """An absolute URL from a page's URL and a link on it; dot segments stay, a null base or link gives null."""
+    origin, path = F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*)", 1), F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"^/(.*/)", 1))
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:/?#]+:)", 1), href))
+        .when(href.startswith("/"), F.concat(origin, href))
+        .when(href.rlike(r"^([?#]|$)"), F.concat(origin, path, href))
+        .otherwise(F.concat(origin, folder, href))
+    )
+
+
+def place(url: Column) -> Column:
+    """Host and path of a URL; null without a host."""
+    return F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+[^?#]*)", 1), F.lit(""))
+
+
+def host(url: Column) -> Column:
+    """Host of a URL without its port; null without one."""
+    return F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1), F.lit(""))

@@ -84,3 +84,12 @@ def version_diff(before: DataFrame, after: DataFrame, *, id_col: str = "doc_id",
     both = own(before, "b").join(own(after, "a"), id_col, "full")
     change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
     return both.select(id_col, change.alias("change")).where("change is not null")
+
+
+def support(df: DataFrame, claim: list[str], k: int, *, size: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, start, length, score, rank, quote): the ``k`` passages that speak most about a claim's terms, with their text."""
+    from docquarry.operators import retrieval
+
+    found = retrieval.passages(df, claim, k, size=size, id_col=id_col, text_col=text_col).drop("chunk_no")  # k rows
+    texts = df.select(F.col(id_col), F.col(text_col).alias("_text")).join(F.broadcast(found), id_col)
+    return texts.select(id_col, "start", "length", "score", "rank", F.substring(F.col("_text"), F.col("start").cast("int"), F.col("length").cast("int")).alias("quote"))

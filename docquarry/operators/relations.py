@@ -11,7 +11,7 @@ from docquarry.functions import html as H
 from docquarry.functions import text as T
 
 #: A name: capitalised words that follow one another.
-NAME = r"\b\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+"
+NAME = r"(?<![\p{L}\p{N}_])\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+"
 
 
 def copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,17 +33,17 @@ def shared_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def link_edges(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, pos, href, dst): ``dst`` is the least page with the link's host and path, null if none is stored."""
-    place = lambda url: F.concat(H.url_part(url, "HOST"), F.coalesce(H.url_part(url, "PATH"), F.lit("")))
-    links = pages.select(F.col(id_col).alias("src"), F.posexplode(H.links(F.col(html_col))).alias("pos", "href")).withColumn("place", place(F.col("href")))
-    stored = pages.select(F.col(id_col), place(F.col(url_col)).alias("place")).where("place is not null").groupBy("place").agg(F.min(id_col).alias("dst"))
-    return links.join(stored, "place", "left").select("src", F.col("pos").cast("bigint").alias("pos"), "href", "dst")
+    """(src, pos, href, target, dst): ``target`` is the link resolved against its page, ``dst`` the least page at that host and path, null if none is stored."""
+    links = pages.select(F.col(id_col).alias("src"), F.col(url_col).alias("base"), F.posexplode(H.links(F.col(html_col))).alias("pos", "href"))
+    links = links.withColumn("target", H.resolve(F.col("base"), F.col("href"))).withColumn("place", H.place(F.col("target")))
+    stored = pages.select(F.col(id_col).alias("dst"), H.place(F.col(url_col)).alias("place")).where("place is not null").groupBy("place").agg(F.min("dst").alias("dst"))
+    return links.join(stored, "place", "left").select("src", F.col("pos").cast("bigint").alias("pos"), "href", "target", "dst")
 
 
 def host_links(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, href_host, n_links, n_pages) between the hosts of pages and of their links."""
+    """(host, href_host, n_links, n_pages) between the hosts of pages and of their links, resolved."""
     links = pages.select(F.col(url_col).alias("url"), F.explode(H.links(F.col(html_col))).alias("href"))
-    hosts = links.select("url", H.url_part(F.col("url"), "HOST").alias("host"), H.url_part(F.col("href"), "HOST").alias("href_host")).where("href_host is not null")
+    hosts = links.select("url", H.host(F.col("url")).alias("host"), H.host(H.resolve(F.col("url"), F.col("href"))).alias("href_host")).where("href_host is not null")
     return hosts.groupBy("host", "href_host").agg(F.count("*").alias("n_links"), F.count_distinct("url").alias("n_pages"))
 
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.operators import search, structure
+
 #: Query vectors that are broadcast and compared in one pass; more queries take more passes.
 BLOCK = 4096
 #: Vectors compared with a block of queries at once.
@@ -143,3 +145,14 @@ def label_purity(neighbours: DataFrame, labels: DataFrame, *, id_col: str = "vec
     other = labels.select(F.col(id_col), F.col(label_col).alias("other"))
     joined = neighbours.join(own, "query_id").join(other, id_col)
     return joined.groupBy("query_id").agg(F.avg((F.col("own") == F.col("other")).cast("double")).alias("purity"))
+
+
+def passages(df: DataFrame, terms: list[str], k: int, *, size: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, chunk_no, start, length, score, rank): the ``k`` best spans of ``size`` code points by BM25 over all spans.
+
+    ``start`` counts from 1. Ties go to the smaller id and span; null and empty texts have no span with a term.
+    """
+    chunks = structure.chunk_chars(df, size, id_col=id_col, text_col=text_col)
+    spans = chunks.select(F.struct(F.col(id_col).alias("id"), "chunk_no", "start", "length").alias("span"), F.col("text").alias("passage"))
+    best = search.top(search.bm25(spans, terms, id_col="span", text_col="passage"), k, id_col="span")
+    return best.select(F.col("span.id").alias(id_col), "span.chunk_no", "span.start", "span.length", "score", "rank")

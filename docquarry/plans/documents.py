@@ -168,22 +168,26 @@ def relations_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.shared_lines(table(spark, sf_dir, "documents"))
 
 
+RESOLVED = r"""CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^([^:/?#]+:)', 1) || href WHEN href LIKE '/%' THEN regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || href WHEN regexp_matches(href, '^([?#]|$)') THEN regexp_extract(url, '^([^:/?#]+://[^/?#]*[^?#]*)', 1) || href ELSE regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || '/' || regexp_extract(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '^/(.*/)', 1) || href END"""
+PLACE = r"nullif(regexp_extract({}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+[^?#]*)', 1), '')"
+
+
 @query(
-    rf"WITH l AS (SELECT page_id AS src, unnest(range(len(h)))::BIGINT AS pos, unnest(h) AS href FROM (SELECT page_id, regexp_extract_all(html, '{HREF}', 1) AS h FROM pages)), "
-    r"p AS (SELECT regexp_extract(url, '^[^:]+://([^/?#]+[^?#]*)', 1) AS place, min(page_id) AS dst FROM pages GROUP BY 1) "
-    r"SELECT src, pos, href, dst FROM l LEFT JOIN p ON nullif(regexp_extract(href, '^[^:]+://([^/?#]+[^?#]*)', 1), '') = place"
+    rf"WITH l AS (SELECT src, url, unnest(range(len(h)))::BIGINT AS pos, unnest(h) AS href FROM (SELECT page_id AS src, url, regexp_extract_all(html, '{HREF}', 1) AS h FROM pages)), t AS (SELECT src, pos, href, {RESOLVED} AS target FROM l), "
+    rf"p AS (SELECT {PLACE.format('url')} AS place, min(page_id) AS dst FROM pages GROUP BY 1) SELECT src, pos, href, target, dst FROM t LEFT JOIN p ON {PLACE.format('target')} = place"
 )
 def relations_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.link_edges(table(spark, sf_dir, "pages"))
 
 
-@query(rf"SELECT {URL.format('url')} AS host, {URL.format('href')} AS href_host, count(*)::BIGINT AS n_links, count(DISTINCT url)::BIGINT AS n_pages FROM (SELECT url, unnest(regexp_extract_all(html, '{HREF}', 1)) AS href FROM pages) WHERE {URL.format('href')} <> '' GROUP BY 1, 2")
+@query(rf"SELECT {URL.format('url')} AS host, {URL.format('target')} AS href_host, count(*)::BIGINT AS n_links, count(DISTINCT url)::BIGINT AS n_pages FROM (SELECT url, {RESOLVED} AS target FROM (SELECT url, unnest(regexp_extract_all(html, '{HREF}', 1)) AS href FROM pages)) WHERE {URL.format('target')} <> '' GROUP BY 1, 2")
 def relations_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.host_links(table(spark, sf_dir, "pages"))
 
 
+# A letter class in place of a word boundary, which the two engines see differently beside letters beyond ASCII.
 @query(
-    r"WITH m AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\b\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+')) AS v FROM documents) "
+    r"WITH m AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+)', 1)) AS v FROM documents) "
     "SELECT a.v AS a, b.v AS b, count(*)::BIGINT AS n_docs FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.v < b.v GROUP BY 1, 2"
 )
 def relations_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
-from docquarry.operators import retrieval, search
+from docquarry.operators import evidence, retrieval, search
 from docquarry.plans.documents import WORDS
 from docquarry.plans.registry import query
 from docquarry.sources.tables import table
@@ -151,3 +151,38 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     relevant = own.join(rows.select("vec_id", "label"), "label").where("vec_id <> query_id").select("query_id", "vec_id")
     found = retrieval.metrics(_nearest(spark, sf_dir), relevant, 10, id_col="vec_id")
     return found.select("query_id", *(F.round(c, 6).alias(c) for c in ("recall", "reciprocal_rank", "ndcg")))
+
+
+@query(
+    BM25
+    + ", r1 AS (SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT 50), r2 AS (SELECT doc_id, len(list_filter(w, lambda x: x = 'thatin'))::DOUBLE AS score FROM w WHERE list_contains(w, 'thatin') ORDER BY score DESC, doc_id LIMIT 50), s1 AS (SELECT doc_id, 0.7 * CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 1.0 END AS score FROM r1), s2 AS (SELECT doc_id, 0.3 * CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 1.0 END AS score FROM r2) SELECT doc_id, round(sum(score), 6) AS score FROM (FROM s1 UNION ALL FROM s2) GROUP BY doc_id"
+)
+def retrieval_score_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of two top-50 lists, scaled and weighted 0.7 and 0.3."""
+    first = search.top(search.bm25(_docs(spark, sf_dir), TERMS), 50)
+    counts = search.postings(_docs(spark, sf_dir), ["thatin"]).select("doc_id", F.col("tf").cast("double").alias("score"))
+    return retrieval.score_fusion([(first, 0.7), (search.top(counts, 50), 0.3)]).select("doc_id", F.round("score", 6).alias("score"))
+
+
+_CHUNKS = "WITH c AS (SELECT doc_id, n::BIGINT AS chunk_no, (n * 500 + 1)::BIGINT AS start, substring(text, n*500+1, 500) AS text FROM (SELECT doc_id, text, unnest(range(0, greatest(ceil((length(text)-500)/500.0)::INT, 0) + 1)) AS n FROM documents)), "
+_SPANS = _CHUNKS + f"w AS (SELECT doc_id, chunk_no, start, length(text)::BIGINT AS length, text, {WORDS} AS w FROM c), " + _TF.replace("m AS (SELECT doc_id,", "m AS (SELECT doc_id, chunk_no, start, length, text,")
+_BEST = ", b AS (SELECT doc_id, chunk_no, start, length, text, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM m JOIN d USING (term), s GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id, chunk_no)::BIGINT AS rank FROM b QUALIFY rank <= 20) "
+
+
+@query(_SPANS + _BEST + "SELECT doc_id, chunk_no, start, length, round(score, 6) AS score, rank FROM r")
+def retrieval_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.passages(_docs(spark, sf_dir), TERMS, 20).withColumn("score", F.round("score", 6))
+
+
+@query(_SPANS + _BEST + "SELECT doc_id, start, length, round(score, 6) AS score, rank, text AS quote FROM r")
+def evidence_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.support(_docs(spark, sf_dir), TERMS, 20).withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"WITH {W}, one AS (SELECT term, count(*) AS tf FROM (SELECT unnest(w) AS term FROM w WHERE doc_id = 7) GROUP BY term), f AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM w) GROUP BY term), best AS (SELECT term AS t FROM one JOIN f USING (term) ORDER BY one.tf * ln((SELECT count(*) FROM documents) / f.df) DESC, term LIMIT 5), "
+    "m AS (SELECT doc_id, len(w) AS dl, t AS term, len(list_filter(w, lambda x: x = t)) AS tf FROM w, best WHERE list_contains(w, t)), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w), d AS (SELECT term, count(*) AS df FROM m GROUP BY term) "
+    "SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM m JOIN d USING (term), s WHERE doc_id <> 7 GROUP BY doc_id"
+)
+def search_more_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.more_like(_docs(spark, sf_dir), 7, 5).select("doc_id", F.round("score", 6).alias("score"))

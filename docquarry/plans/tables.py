@@ -225,3 +225,28 @@ def events_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = relational.sessions(table(spark, sf_dir, "events"), "30 minutes")
     return found.select("user_id", F.unix_seconds(F.col("start").cast("timestamp")).alias("start_s"), "n")
+
+
+@query("SELECT r_name, count(*)::BIGINT AS n FROM region JOIN nation ON r_regionkey < n_regionkey GROUP BY r_name")
+def table_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An inequality join of two tables of fixed size."""
+    both = table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("r_regionkey") < F.col("n_regionkey"))
+    return both.groupBy("r_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT h AS hint, count(*)::BIGINT AS n FROM customer JOIN nation ON c_nationkey = n_nationkey, (SELECT unnest(['broadcast', 'merge', 'shuffle_hash']) AS h) GROUP BY h")
+def table_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One equi-join by each physical strategy that a hint can ask for; ``nation`` has a fixed size."""
+    customers, nations = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    counts = [customers.join(nations.hint(h), customers["c_nationkey"] == nations["n_nationkey"]).agg(F.count("*").alias("n")).select(F.lit(h).alias("hint"), "n") for h in ("broadcast", "merge", "shuffle_hash")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n_users, sum(coalesce(v, 0))::BIGINT AS n_large FROM (SELECT user_id, event_type, max(CASE WHEN value > 50 THEN 1 END) AS v FROM events GROUP BY 1, 2) GROUP BY event_type")
+def table_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicates dropped by two columns, nulls filled."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", F.when(F.col("value") > 50, 1).alias("v"))
+    large = rows.na.drop(subset=["v"]).dropDuplicates(["user_id", "event_type"])
+    users = rows.drop("v").dropDuplicates(["user_id", "event_type"])
+    filled = users.join(large, ["user_id", "event_type"], "left").na.fill({"v": 0})
+    return filled.groupBy("event_type").agg(F.count("*").alias("n_users"), F.sum("v").cast("bigint").alias("n_large"))

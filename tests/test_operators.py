@@ -70,3 +70,45 @@ def test_stream_equals_batch_and_drops_late_events(spark, tmp_path):
     done = {(r["start"], r["n"], r["total"]) for r in spark.table("out").collect()}
     assert (at(5), 2, 8.0) not in done  # the repeated event counts once
     assert all(start <= at(5) for start, _, _ in done)
+
+
+def test_links_are_resolved_against_their_page(spark):
+    html = '<a href="/b">x</a><a href="c?q=1">y</a><a href="#top">z</a><a href="//o.net/p">o</a><a href="http://a.org/x/c">abs</a><a href="mailto:m@n">m</a>'
+    pages = spark.createDataFrame([(1, "http://a.org/x/a?k=v", html), (2, "http://a.org/b", ""), (3, "http://a.org/x/c", None), (4, None, '<a href="/b">x</a>')], "page_id bigint, url string, html string")
+    got = {(r["src"], r["pos"]): (r["target"], r["dst"]) for r in relations.link_edges(pages).collect()}
+    assert got[1, 0] == ("http://a.org/b", 2) and got[1, 1] == ("http://a.org/x/c?q=1", 3) and got[1, 2] == ("http://a.org/x/a#top", 1)
+    assert got[1, 3] == ("http://o.net/p", None) and got[1, 4] == ("http://a.org/x/c", 3) and got[1, 5] == ("mailto:m@n", None) and got[4, 0] == (None, None)
+    hosts = {(r["host"], r["href_host"]): (r["n_links"], r["n_pages"]) for r in relations.host_links(pages).collect()}
+    assert hosts == {("a.org", "a.org"): (4, 1), ("a.org", "o.net"): (1, 1)}
+
+
+def test_names_beyond_ascii_are_mentioned(spark):
+    docs = spark.createDataFrame([(1, "Éva Çelik met Anna Berg, and xÉva Nobody"), (2, "Anna Berg saw Éva Çelik"), (3, None)], "doc_id bigint, text string")
+    got = {(r["a"], r["b"]): r["n_docs"] for r in relations.cooccurrence(relations.mentions(docs)).collect()}
+    assert got == {("Anna Berg", "Éva Çelik"): 2}
+
+
+def test_passages_carry_spans_that_hold_the_quote(spark):
+    docs = spark.createDataFrame([(1, "filler " * 20 + "the falcon landed 😀 here"), (2, "a falcon"), (3, None), (4, "")], "doc_id bigint, text string")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = evidence.support(docs, ["falcon", "landed"], 5, size=40).orderBy("rank").collect()
+    assert [r["doc_id"] for r in got] == [1, 2] and "falcon landed 😀" in got[0]["quote"]
+    assert all(texts[r["doc_id"]][r["start"] - 1 :][: r["length"]] == r["quote"] for r in got)
+
+
+def test_scores_are_fused_and_lists_diversified(spark):
+    a = spark.createDataFrame([(1, 4.0), (2, 2.0), (3, 0.0)], "doc_id bigint, score double")
+    b = spark.createDataFrame([(2, 7.0), (4, 7.0)], "doc_id bigint, score double")
+    got = {r["doc_id"]: r["score"] for r in retrieval.score_fusion([(a, 0.5), (b, 2.0)]).collect()}
+    assert got == {1: 0.5, 2: 2.25, 3: 0.0, 4: 2.0}
+    rows = [(9, 1, 1.0, [1.0, 0.0]), (9, 2, 0.9, [1.0, 0.01]), (9, 3, 0.5, [0.0, 1.0])]
+    picked = retrieval.diversified(spark.createDataFrame(rows, "query_id bigint, doc_id bigint, score double, embedding array<float>"), 2)
+    assert [r["doc_id"] for r in picked.orderBy("rank").collect()] == [1, 3]
+
+
+def test_field_scores_add_up(spark):
+    docs = spark.createDataFrame([(1, "cat", "dog"), (2, "bird", "cat cat"), (3, None, None)], "doc_id bigint, title string, body string")
+    whole = {r["doc_id"]: r["score"] for r in search.field_score(docs, ["cat"], {"title": 2.0, "body": 1.0}).collect()}
+    title = {r["doc_id"]: r["score"] for r in search.bm25(docs, ["cat"], text_col="title").collect()}
+    body = {r["doc_id"]: r["score"] for r in search.bm25(docs, ["cat"], text_col="body").collect()}
+    assert whole == {1: 2 * title[1], 2: body[2]}
