@@ -2,19 +2,22 @@
 
 Everything is expressed in Spark functions, one row in and two rows out, with
 no shuffle. Identifiers are UUIDs made from digests, so building twice gives
-the same records and links hold without a lookup.
+the same records and links hold without a lookup. ``read`` splits WARC files at
+the records' ends, so that large files are read in parallel and no file is ever
+whole in memory; ``responses_of`` takes URL, date, headers and digests from the
+records read, while ``responses`` makes them for pages stored without.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Line end of WARC headers.
 END = "\r\n"
-#: Stated in the records, not taken from a clock, so that results repeat.
+#: Stated where a source has no date, not taken from a clock, so that results repeat.
 DATE = "2024-01-01T00:00:00Z"
-#: Entities that are written out in plain text; others, numeric ones too, stay encoded.
+#: Named entities that are written out in plain text, as numeric ones are; other names stay encoded.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&middot;": "·", "&hellip;": "…", "&mdash;": "—", "&ndash;": "–", "&amp;": "&"}
 
 
@@ -29,12 +32,32 @@ def digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block.cast("binary"), 256))
 
 
+def _numeric(text: Column) -> Column:
+    """Numeric character references written out; what is no character becomes U+FFFD."""
+    pattern = r"&#([xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"
+
+    def char(code: Column) -> Column:
+        n = F.when(F.lower(F.substring(code, 1, 1)) == "x", F.conv(F.substring(code, 2, 6), 16, 10)).otherwise(code).cast("int")
+        there = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        return F.when(there, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+
+    between, codes = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    joined = F.array_join(F.zip_with(between, codes, lambda a, b: F.concat(a, F.when(b.isNull(), F.lit("")).otherwise(char(b)))), "")
+    return F.when(F.contains(text, F.lit("&#")), joined).otherwise(text)
+
+
+def _one_line(value: Column) -> Column:
+    """A header's value: line ends, which would begin another header, are written as in a URL."""
+    return F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
 def plain_text(html: Column) -> Column:
     """Visible text of HTML: no scripts, styles, comments or tags, one line per block, single spaces."""
     text = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|head|template)\b[^>]*>.*?</\1\s*>", " ")
     text = F.regexp_replace(text, r"\s+", " ")
     text = F.regexp_replace(text, r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|br|body|blockquote|pre)\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
+    text = _numeric(text)
     for entity, plain in ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(plain))
     return F.trim(F.regexp_replace(text, r" *\n[ \n]*", "\n"), F.lit(" \n"))
@@ -46,10 +69,10 @@ def responses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     A page without URL has an empty target; without HTML, an empty payload.
     Pages that agree in id, URL and HTML have the same record id.
     """
-    url, html = F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(html_col), F.lit(""))
+    url, html = _one_line(F.coalesce(F.col(url_col), F.lit(""))), F.coalesce(F.col(html_col), F.lit(""))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.octet_length(html).cast("string"), F.lit(END))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    return pages.select(F.col(id_col), urn(F.lit("response"), key, url, html).alias("record_id"), url.alias("target_uri"), http.alias("headers"), html.alias("payload"), digest(html).alias("payload_digest"))
+    return pages.select(F.col(id_col), urn(F.lit("response"), key, url, html).alias("record_id"), url.alias("target_uri"), http.alias("headers"), html.alias("payload"), digest(html).alias("payload_digest"), F.lit(DATE).alias("date"))
 
 
 def _record(kind: str, block: Column, content: str) -> Column:
@@ -61,7 +84,7 @@ def _record(kind: str, block: Column, content: str) -> Column:
         F.concat(F.lit("WARC-Record-ID: "), made),
         F.concat(F.lit("WARC-Refers-To: "), F.col("record_id")),
         F.concat(F.lit("WARC-Target-URI: "), F.col("target_uri")),
-        F.lit(f"WARC-Date: {DATE}"),
+        F.concat(F.lit("WARC-Date: "), F.col("date")),
         F.concat(F.lit("WARC-Block-Digest: "), digest(block)),
         F.lit(f"Content-Type: {content}"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
@@ -98,6 +121,58 @@ def serialise(records: DataFrame) -> Column:
     return F.concat(F.col("head"), F.lit(END + END), F.col("block"), F.lit(END + END)).cast("binary")
 
 
-def write(records: DataFrame, path: str) -> None:
-    """WARC text files, one per task, gzip members through Spark's text writer; records never span files."""
-    records.select(serialise(records).cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", "").text(path)
+def write(records: DataFrame, path: str, *, compression: str = "none") -> None:
+    """WARC files under ``path``, one per task, from rows with ``head`` and ``block`` (a string or binary).
+
+    A record never spans files; with ``gzip`` each file is compressed as a
+    whole. Null heads are left out, null blocks are empty, and the bytes of a
+    block are kept as they are. An empty table writes no record.
+    """
+    whole = F.concat(F.col("head").cast("binary"), F.lit(END + END).cast("binary"), F.coalesce(F.col("block").cast("binary"), F.lit(b"")))
+    rows = records.where(F.col("head").isNotNull()).select(whole.cast("string").alias("value"))
+    rows.write.option("compression", compression).option("lineSep", END + END).text(path)
+
+
+def source_record(found: DataFrame) -> DataFrame:
+    """``responses`` as records to ``write``: head, and the HTTP headers and payload as block."""
+    block = F.concat(F.col("headers"), F.lit(END), F.col("payload"))
+    head = F.concat_ws(
+        END,
+        F.lit("WARC/1.1"),
+        F.lit("WARC-Type: response"),
+        F.concat(F.lit("WARC-Record-ID: "), F.col("record_id")),
+        F.concat(F.lit("WARC-Target-URI: "), F.col("target_uri")),
+        F.concat(F.lit("WARC-Date: "), F.col("date")),
+        F.concat(F.lit("WARC-Payload-Digest: "), F.col("payload_digest")),
+        F.lit("Content-Type: application/http; msgtype=response"),
+        F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
+    )
+    return found.select(head.alias("head"), block.alias("block"))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the WARC files under ``path``: their main headers, ``head``, ``block`` (binary) and ``complete``.
+
+    ``complete`` is false where fewer bytes than the stated length follow, as
+    where a block itself holds the line ends and version that begin a record.
+    Absent headers are null. Plain and gzip files (by their ending) are read.
+    """
+    rows = spark.read.option("lineSep", f"{END}{END}WARC/1.").text(path).select("value", F.substring_index("value", END + END, 1).alias("raw")).where("trim(raw) <> ''")
+    header = lambda name: F.nullif(F.regexp_extract("raw", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit("")).alias(name.replace("WARC-", "").replace("-", "_").lower())
+    names = ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "WARC-Payload-Digest", "WARC-Block-Digest", "Content-Length")
+    parts = rows.select(*map(header, names), F.regexp_replace("raw", r"^(?:WARC/1\.)?", "WARC/1.").alias("head"), F.octet_length("raw").alias("at"), F.col("value").cast("binary").alias("bytes"))
+    size = F.coalesce(F.col("content_length").try_cast("int"), F.lit(0))
+    block = F.substring(F.col("bytes"), F.col("at") + 5, size)
+    columns = ["type", "record_id", "refers_to", "target_uri", "date", "payload_digest", "block_digest", "content_length", "head"]
+    return parts.select(*columns, block.alias("block"), (F.octet_length(block) == size).alias("complete")).withColumnsRenamed({"type": "record_type"}).withColumn("content_length", F.col("content_length").try_cast("bigint"))
+
+
+def responses_of(records: DataFrame) -> DataFrame:
+    """The response records of ``read`` as ``derivatives`` takes them: the source's URL, date, HTTP headers and payload digest.
+
+    Bytes that are no UTF-8 become U+FFFD in the payload; a missing digest is
+    taken from the payload's bytes.
+    """
+    found = records.where("lower(record_type) = 'response'").withColumn("http", F.substring_index(F.col("block").cast("string"), END + END, 1))
+    raw = F.substring(F.col("block"), F.octet_length("http") + 5, F.octet_length("block"))
+    return found.select("record_id", F.coalesce("target_uri", F.lit("")).alias("target_uri"), F.concat("http", F.lit(END)).alias("headers"), F.make_valid_utf8(raw.cast("string")).alias("payload"), F.coalesce("payload_digest", F.concat(F.lit("sha256:"), F.sha2(raw, 256))).alias("payload_digest"), F.coalesce("date", F.lit(DATE)).alias("date"))

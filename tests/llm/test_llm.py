@@ -268,6 +268,36 @@ def test_warc_records_link(spark):
     assert text["record_id"] in fields["block"] and "title: T" in fields["block"] and "outlinks: 1" in fields["block"]
 
 
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_warc_files_round_trip(spark, tmp_path, compression):
+    rows = [(1, "http://a.org/x\r\nX: y", "<p>It&#39;s &#xE9;t&#233; &amp;#39; &#0;</p>\r\n\r\n<p>next</p>"), (2, None, None), (3, "http://b.org", "x" * 100_000)]
+    found = warc.responses(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    warc.write(warc.source_record(found), f"{tmp_path}/s", compression=compression)
+    read = warc.read(spark, f"{tmp_path}/s")
+    assert read.where("not complete").count() == 0 and read.count() == 3
+    want = {r["record_id"]: r for r in found.collect()}
+    back = warc.responses_of(read)
+    for r in back.collect():
+        source = want.pop(r["record_id"])
+        assert all(r[c] == source[c] for c in ("target_uri", "headers", "payload", "payload_digest", "date"))
+    assert not want
+    made = warc.derivatives(back, keep=[])
+    assert sorted(map(str, made.collect())) == sorted(map(str, warc.derivatives(found, keep=[]).collect()))
+    text = next(r["block"] for r in made.collect() if r["record_type"] == "conversion" and "It" in r["block"])
+    assert text == "It's \u00e9t\u00e9 &#39; \ufffd\nnext"
+    warc.write(made, f"{tmp_path}/d", compression=compression)
+    again = {r["record_id"]: r for r in warc.read(spark, f"{tmp_path}/d").collect()}
+    for r in made.collect():
+        other = again.pop(r["record_id"])
+        assert other["complete"] and bytes(other["block"]) == r["block"].encode() and other["refers_to"] == r["refers_to"] and other["head"] == r["head"]
+        assert other["block_digest"] == r["block_digest"]
+    assert not again
+    # Bytes of a foreign record stay as they are.
+    spark.createDataFrame([("WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 4", bytearray(b"\xff\x00\r\n"))], "head string, block binary").transform(lambda d: warc.write(d, f"{tmp_path}/b", compression=compression) or d)
+    one = warc.read(spark, f"{tmp_path}/b").collect()
+    assert len(one) == 1 and bytes(one[0]["block"]) == b"\xff\x00\r\n" and one[0]["record_type"] == "resource" and one[0]["head"].startswith("WARC/1.0")
+
+
 def test_media_sequences_stay_aligned(spark, tmp_path):
     texts = [b"", b"abc", b"x" * 64, b"y" * 65, b"abc"]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, raw binary").withColumn("payload", media.padded(F.col("raw")))
