@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_arrow
+from .common import bounded_arrow, materialise
 
 #: Samples of an image row; payloads are padded to a multiple of it.
 WIDTH = 64
 #: What the width, height and 255 of an image stand between in its header.
 HEADER = "P5\n%d %d\n255\n"
+#: References to one medium, and the inverse of their share of all, above which they are dealt to several tasks.
+HOT_ROWS, HOT_MEDIA = 256, 10_000
 _HIDDEN, _BREAKS = {"script", "style", "template", "head"}, {"p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "article", "section", "nav", "footer", "header", "br", "figure", "figcaption", "body", "blockquote", "pre"}
 _MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": "source", "embed": "embed"}
 
@@ -154,12 +156,29 @@ def features(media: DataFrame) -> DataFrame:
     return made.groupBy("media").agg(*(F.min(x).alias(x) for x in made.columns[1:]))
 
 
+def _free(name: str, taken: set[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def resolve(sequences: DataFrame, media: DataFrame, *, keys: list[str], elements_col: str = "elements") -> DataFrame:
     """One row per media reference: ``keys``, position, kind, media, caption and the columns of ``media``.
 
     ``media`` has one row per medium. References that it lacks keep their row,
-    with nulls. A medium that many documents share is one row on its side;
-    Spark's skew join splits the other side.
+    with nulls. References are written once and counted by medium; a medium
+    with more than ``HOT_ROWS`` of them, and more than one in ``HOT_MEDIA`` of
+    all, is dealt out: its row is repeated and its references take the
+    repetitions in turn. Hence at most ``HOT_MEDIA`` counts are broadcast.
     """
-    refs = sequences.select(*keys, F.inline(elements_col)).where("media is not null").drop("text")
-    return refs.join(media, "media", "left")
+    refs = materialise(sequences.select(*keys, F.inline(elements_col)).where("media is not null").drop("text"), "references")
+    taken = {x.lower() for x in [*refs.columns, *media.columns]}
+    part, parts = _free("part", taken), _free("parts", taken)
+    most = max(HOT_ROWS, refs.count() // HOT_MEDIA)
+    counts = refs.groupBy("media").agg(F.ceil(F.count(F.lit(1)) / most).alias(parts))
+    hot = F.broadcast(counts.where(F.col(parts) > 1))
+    dealt = F.coalesce(F.col(parts), F.lit(1))
+    refs = refs.join(hot, "media", "left").withColumn(part, F.pmod(F.monotonically_increasing_id(), dealt)).drop(parts)
+    media = media.join(hot, "media", "left").withColumn(part, F.explode(F.sequence(F.lit(0), dealt - 1))).drop(parts)
+    return refs.join(media, ["media", part], "left").drop(part)

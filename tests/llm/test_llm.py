@@ -316,6 +316,21 @@ def test_media_sequences_stay_aligned(spark, tmp_path):
     assert media.elements(None) == []
 
 
+def test_media_of_many_references_are_dealt_out(spark, tmp_path, monkeypatch):
+    rows = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("x").alias("part"), media.padded(F.when(F.col("id") % 3 == 0, F.col("id").cast("string").cast("binary"))).alias("payload"))
+    media.store(rows, f"file://{tmp_path}/m")
+    html = F.format_string("<img src='%s'><img src='sha256:unknown'>", media.address(F.col("payload")))
+    sequences = rows.select("doc_id", "part", media.parse(html).alias("elements"))
+    known = media.features(media.load(spark, f"file://{tmp_path}/m"))
+    plain = media.resolve(sequences, known, keys=["doc_id", "part"])
+    monkeypatch.setattr(media, "HOT_ROWS", 7)
+    dealt = media.resolve(sequences, known, keys=["doc_id", "part"])
+    assert dealt.columns == plain.columns
+    got = sorted(map(str, dealt.collect()))
+    assert len(got) == 120 and got == sorted(map(str, plain.collect()))
+    assert dealt.where("payload_bytes is null").count() == 60
+
+
 @pytest.mark.parametrize("run", [packing.pack, simhash.near_duplicates, linededup.remove_repeats, pii.detect, secrets.scan])
 def test_odd_and_empty_tables(spark, run):
     assert run(frame(spark, [])).count() == 0
