@@ -12,6 +12,8 @@ from docquarry.functions import text as T
 
 #: Tokens of the anchor by which a quote's documents are found.
 ANCHOR = 8
+#: Different first tokens of anchors up to which they are looked up inside the row; beyond, all n-grams meet the anchors in a join.
+HEADS = 10_000
 
 
 def quotes(docs: DataFrame, wanted: DataFrame, *, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", quote_id: str = "item_id", quote_col: str = "quote") -> DataFrame:
@@ -26,19 +28,31 @@ def quotes(docs: DataFrame, wanted: DataFrame, *, anchor: int = ANCHOR, id_col:
     """
     q = wanted.select(quote_id, F.col(quote_col).alias("q"), T.tokens(F.col(quote_col)).alias("w")).where("q is not null and q <> ''")
     inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
-    q = q.select(quote_id, "q", F.slice(inner, 1, anchor).alias("key")).cache()
-    found = None
-    sizes = [r[0] for r in q.select(F.size("key")).distinct().collect()]  # anchor + 1 at most
+    q = q.select(quote_id, "q", F.slice(inner, 1, anchor).alias("key"))
     words = docs.select(F.col(id_col), F.col(text_col).alias("_t"))
-    for n in sorted(sizes):
-        own = q.where(F.size("key") == n).select(quote_id, "q", F.array_join("key", " ").alias("gram"))
-        if n:
-            grams = words.select(id_col, F.explode(F.array_distinct(T.ngrams(T.tokens(F.col("_t")), n))).alias("gram"))
-            pairs = grams.join(own.select("gram", quote_id), "gram").select(id_col, quote_id)
-            met = words.join(pairs, id_col).join(own.select(quote_id, "q"), quote_id)
-        else:
-            met = words.join(own.select(quote_id, "q"), F.contains(F.col("_t"), F.col("q")))
-        found = met if found is None else found.unionByName(met, allowMissingColumns=True)
+    lengths = {r[0] for r in q.select(F.size("key")).distinct().collect()}  # anchor + 1 at most
+    begun = q.where(F.size("key") > 0).select(F.size("key"), F.get("key", F.lit(0))).distinct().limit(HEADS + 1).collect()
+    few = len(begun) <= HEADS
+    sizes = {n: sorted(h for m, h in begun if m == n) if few else None for n in lengths - {0}}
+
+    def grams(w: Column) -> Column:
+        """Of the n-grams of all lengths that are asked for, those that begin as an anchor does."""
+        def of(n: int, heads: list[str] | None) -> Column:
+            starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+            if heads is not None:
+                starts = F.filter(starts, lambda i: F.get(w, i - 1).isin(*heads))
+            return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+        return F.array_distinct(F.concat(*(of(n, heads) for n, heads in sorted(sizes.items()))))
+
+    found = None
+    if 0 in lengths:  # no inner token
+        found = words.join(q.where(F.size("key") == 0).select(quote_id, "q"), F.contains(F.col("_t"), F.col("q")))
+    if sizes:
+        own = q.where(F.size("key") > 0).select(quote_id, "q", F.array_join("key", " ").alias("gram"))
+        met = words.select("*", F.explode(T.bound(T.tokens(F.col("_t")), grams)).alias("gram")).join(own.select("gram", quote_id), "gram").select(id_col, quote_id)
+        met = words.join(met, id_col).join(own.select(quote_id, "q"), quote_id)
+        found = met if found is None else found.unionByName(met)
     if found is None:
         return words.limit(0).select(id_col, *(F.lit(None).cast(k).alias(c) for c, k in ((quote_id, wanted.schema[quote_id].dataType), ("start", "bigint"), ("length", "bigint"))))
     at = F.expr("locate(q, _t)")

@@ -131,12 +131,16 @@ def metrics(ranked: DataFrame, relevant: DataFrame, k: int, *, id_col: str = "do
     all equally relevant.
     """
     wanted = relevant.select("query_id", id_col).distinct()
-    n = wanted.groupBy("query_id").agg(F.count("*").alias("n"))
     hits = ranked.where(F.col("rank") <= k).join(wanted, ["query_id", id_col])
+    return metrics_of(hits, wanted.groupBy("query_id").agg(F.count("*").alias("n")), k)
+
+
+def metrics_of(hits: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+    """The same from the relevant rows (query_id, rank) among the best ``k`` and each query's number ``n`` of relevant ones, which need not be listed."""
     got = hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return n.join(got, "query_id", "left").select("query_id", zero(F.col("hits") / F.col("n")).alias("recall"), zero(1 / F.col("first")).alias("reciprocal_rank"), zero(F.col("dcg") / ideal).alias("ndcg"))
+    return totals.join(got, "query_id", "left").select("query_id", zero(F.col("hits") / F.col("n")).alias("recall"), zero(1 / F.col("first")).alias("reciprocal_rank"), zero(F.col("dcg") / ideal).alias("ndcg"))
 
 
 def label_purity(neighbours: DataFrame, labels: DataFrame, *, id_col: str = "vec_id", label_col: str = "label") -> DataFrame:

@@ -16,12 +16,14 @@ K1, B = 1.2, 0.75
 
 
 def dictionary(df: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """(term, df, cf): documents that hold the term, and its occurrences; one shuffle of partial sums."""
-    w = F.col("w")
-    mark = lambda n, of: lambda t: F.struct(t.alias("term"), F.lit(of).alias("d"), F.lit(n).alias("c"))
-    marks = F.concat(F.transform(w, mark(1, 0)), F.transform(F.array_distinct(w), mark(0, 1)))
-    rows = df.select(T.tokens(F.col(text_col)).alias("w")).select(F.inline(marks))
-    return rows.groupBy("term").agg(F.sum("d").alias("df"), F.sum("c").alias("cf"))
+    """(term, df, cf): documents that hold the term, and its occurrences; one shuffle of partial sums.
+
+    A text's sorted tokens tell where a term is new, so a token is one row that
+    says whether it is the first of its kind in the text.
+    """
+    first = lambda w: F.transform(w, lambda t, i: F.struct(t.alias("term"), F.when((i == 0) | (F.get(w, i - 1) != t), 1).otherwise(0).alias("d")))
+    rows = df.select(F.inline(T.bound(F.sort_array(T.tokens(F.col(text_col))), first)))
+    return rows.groupBy("term").agg(F.sum("d").alias("df"), F.count("*").alias("cf"))
 
 
 def postings(df: DataFrame, terms: list[str] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,24 +66,33 @@ def proximity(df: DataFrame, first: str, second: str, within: int, *, id_col: st
     return both.select(id_col, least.cast("bigint").alias("distance")).where(F.col("distance") <= within)
 
 
-def _matches(df: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(id, dl, term, tf) of query terms in documents: counted inside the row, not shuffled."""
-    wanted = F.array(*map(F.lit, sorted(set(terms))))
-    words = df.select(id_col, T.tokens(F.col(text_col)).alias("w")).where(F.arrays_overlap("w", wanted))
-    counted = F.transform(wanted, lambda t: F.struct(t.alias("term"), F.size(F.filter(F.col("w"), lambda x: x == t)).cast("bigint").alias("tf")))
-    return words.select(id_col, F.size("w").cast("bigint").alias("dl"), F.inline(counted)).where("tf > 0")
+def _weighted(df: DataFrame, terms: list[str], id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(id, dl, tf, n, avgdl, df) of every text, ``tf`` and ``df`` as arrays over the query's terms, and how many they are.
+
+    Texts are read and counted once: what leaves that scan is an id and a few
+    numbers, and the totals and the scores share its exchange.
+    """
+    wanted = sorted(set(terms))
 
+    def counted(w: Column) -> Column:
+        times = lambda t: F.size(F.filter(w, lambda x: x == t)).cast("bigint")
+        tf = F.array(*map(times, wanted))
+        return F.struct(F.size(w).cast("bigint").alias("dl"), tf.alias("tf"))
 
-def _statistics(df: DataFrame, text_col: str) -> DataFrame:
-    """One row: number of documents and their mean length in tokens."""
-    return df.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.coalesce(F.col(text_col), F.lit(""))))).alias("avgdl"))
+    made = df.select(F.col(id_col), T.bound(T.tokens(F.coalesce(F.col(text_col), F.lit(""))), counted).alias("_x"))
+    rows = made.select(id_col, "_x.dl", "_x.tf").repartition(F.col(id_col))
+    held = (F.sum((F.col("tf")[k] > 0).cast("bigint")) for k in range(len(wanted)))
+    totals = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.array(*held).alias("df"))  # one row
+    return rows.join(F.broadcast(totals)), len(wanted)
 
 
-def _weighted(df: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
-    found = _matches(df, terms, id_col, text_col)
-    # One row per query term and one row of totals: as many as the query has terms, so both are broadcast.
-    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
-    return found.join(F.broadcast(frequency), "term").join(F.broadcast(_statistics(df, text_col)))
+def _summed(found: DataFrame, parts: list[Column], id_col: str) -> DataFrame:
+    """(id, score) of the rows with a term. The condition names a total, as a filter of the texts alone would part the shared exchange."""
+    hits = F.when(F.col("n") > 0, F.exists("tf", lambda x: x > 0))
+    score = parts[0]
+    for x in parts[1:]:
+        score = score + x
+    return found.where(hits).select(id_col, score.alias("score")).groupBy(id_col).agg(F.sum("score").alias("score"))
 
 
 def bm25(df: DataFrame, terms: list[str], *, k1: float = K1, b: float = B, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,16 +103,22 @@ def bm25(df: DataFrame, terms: list[str], *, k1: float = K1, b: float = B, id_co
     """
     if not terms:
         raise ValueError("the query has no terms")
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * ((1 - b) + b * F.col("dl") / F.col("avgdl")))
-    return _weighted(df, terms, id_col, text_col).groupBy(id_col).agg(F.sum(idf * gain).alias("score"))
+    found, many = _weighted(df, terms, id_col, text_col)
+
+    def part(tf: Column, held: Column) -> Column:
+        idf = F.ln(1 + (F.col("n") - held + 0.5) / (held + 0.5))
+        return F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
+
+    return _summed(found, [part(F.col("tf")[k], F.col("df")[k]) for k in range(many)], id_col)
 
 
 def tf_idf(df: DataFrame, terms: list[str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score): sum of term frequency times ``ln(n / df)`` over the query terms."""
     if not terms:
         raise ValueError("the query has no terms")
-    return _weighted(df, terms, id_col, text_col).groupBy(id_col).agg(F.sum(F.col("tf") * F.ln(F.col("n") / F.col("df"))).alias("score"))
+    found, many = _weighted(df, terms, id_col, text_col)
+    part = lambda tf, held: F.when(tf > 0, tf * F.ln(F.col("n") / held)).otherwise(0.0)
+    return _summed(found, [part(F.col("tf")[k], F.col("df")[k]) for k in range(many)], id_col)
 
 
 def top(scored: DataFrame, k: int, *, id_col: str = "doc_id") -> DataFrame:

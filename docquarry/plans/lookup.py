@@ -148,8 +148,10 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with a query's label count as relevant."""
     rows = table(spark, sf_dir, "embeddings")
     own = rows.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "label")
-    relevant = own.join(rows.select("vec_id", "label"), "label").where("vec_id <> query_id").select("query_id", "vec_id")
-    found = retrieval.metrics(_nearest(spark, sf_dir), relevant, 10, id_col="vec_id")
+    # Rows of a label are counted, not paired with its queries; only neighbours are compared by label.
+    totals = own.join(rows.groupBy("label").agg((F.count("*") - 1).alias("n")), "label").where("n > 0").select("query_id", "n")
+    near = _nearest(spark, sf_dir).join(own, "query_id").join(rows.select("vec_id", F.col("label").alias("other")), "vec_id")
+    found = retrieval.metrics_of(near.where(F.col("label") == F.col("other")).select("query_id", "rank"), totals, 10)
     return found.select("query_id", *(F.round(c, 6).alias(c) for c in ("recall", "reciprocal_rank", "ndcg")))
 
 
