@@ -11,7 +11,9 @@ cost nearly all of their length.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -84,10 +86,12 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     taken = sorted((s, e) for s, _, e in found)
+    starts, reach = [s for s, _ in taken], [0, *accumulate((e for _, e in taken), max)]
     seen = set()
     for word in SENSITIVE.finditer(text) if any(x in low for x in ("credential", "passphrase", "private", "bearer", "authorization", "signature", "key", *_WORDS)) else ():
         for m in _after(text, word.end()):
-            if m.span() in seen or any(s < m.end() and m.start() < e for s, e in taken):
+            # Of the spans that start before its end, the farthest end is beyond its start: it overlaps one.
+            if m.span() in seen or reach[bisect_left(starts, m.end())] > m.start():
                 continue
             seen.add(m.span())
             if novelty(m[0], text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]) >= NOVELTY:
