@@ -69,21 +69,37 @@ def _possible(kind: str, text: Column) -> Column:
     return F.contains(text, F.lit("@" if kind == "email" else "+"))
 
 
+#: Matches of one text whose lengths are summed up once for all that follow.
+BLOCK = 128
 _SPAN = "array<struct<kind:string,start:int,end:int,match:string>>"
 
 
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: inside a lambda it would else be computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _located(kind: str, text: Column, pattern: Column) -> Column:
-    """Spans of every match: what splitting leaves between the matches gives their positions in code points."""
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    sizes = F.transform(found, F.length)
-    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda x, y: x + y)
-
-    def span(match: Column, at: Column) -> Column:
-        start = total(gaps, at + 1) + total(sizes, at)
+    """Spans of every match: what splitting leaves between the matches gives their positions in code points.
+
+    The pattern runs twice over a text, whatever it finds. A match's place is a
+    sum over the blocks of ``BLOCK`` matches before it and the rest of its own.
+    """
+    sums = lambda a, first, n: F.aggregate(F.slice(a, first + 1, n), F.lit(0), lambda x, y: x + y)
+    block = lambda k: F.floor(k / F.lit(BLOCK)).cast("int")
+
+    def placed(x: Column) -> Column:
+        gaps, found = x["gaps"], x["found"]
+        steps = F.zip_with(gaps, found, lambda g, m: g + F.coalesce(F.length(m), F.lit(0)))
+        return _once(steps, lambda steps: _once(blocks(steps), lambda whole: F.transform(found, lambda m, k: span(m, sums(whole, F.lit(0), block(k)) + sums(steps, block(k) * BLOCK, k - block(k) * BLOCK) + F.get(gaps, k)))))
+
+    def blocks(steps: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), block(F.size(steps) - 1)), lambda b: sums(steps, b * BLOCK, F.lit(BLOCK)))
+
+    def span(match: Column, start: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(match)).alias("end"), match.alias("match"))
 
-    return F.transform(found, span)
+    return _once(F.struct(F.transform(F.split(text, pattern, -1), F.length).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("found")), placed)
 
 
 def base_spans(text: Column) -> Column:

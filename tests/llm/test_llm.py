@@ -184,6 +184,14 @@ def test_pii_terms_count_copies_alike(spark):
     assert not got[200]["spans"]
 
 
+def test_many_matches_of_one_text_are_placed(spark):
+    text = "".join(f"😀 x{k}@host.org" + "," * (k % 7) for k in range(3 * pii.BLOCK + 5))
+    got = spark.createDataFrame([(text,), ("a@b.cd",), ("",), (None,)], "text string").select(pii.base_spans(F.col("text")).alias("s")).collect()
+    want = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert [(x["start"], x["end"], x["match"]) for x in got[0]["s"]] == want and len(want) == 3 * pii.BLOCK + 5
+    assert [(x["start"], x["end"]) for x in got[1]["s"]] == [(0, 6)] and got[2]["s"] == got[3]["s"] == []
+
+
 def test_secrets_base_and_novel():
     key = "q7Zk2Vb9Xw4LtR8mPd3NcF6h"
     found = secrets.spans(f'😀 password = "hunter22x" and AKIA{"B" * 12} {"0f" * 16} bearer {key} bearer configuration_parameter_value')
