@@ -47,7 +47,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Learned scores, fingerprints and tokens are beyond SQL; near-duplicates alone are tested as a stage against brute force.
+#: Learned scores, fingerprints and tokens are beyond SQL; every stage is tested against a plain version (tests/llm/test_pipeline.py).
 ORACLE_SQL = None
 
 
