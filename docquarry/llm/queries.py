@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, media, packing, pii, secrets, simhash, tokenfile, toxicity, warc
+from . import blocknames, decontaminate, linededup, media, packing, pii, secrets, simhash, tokenfile, toxicity, warc
 from .common import scratch_path
 
 
@@ -90,5 +90,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_line_dedup, op4_pii, op5_secrets, op6_toxicity, op7_token_orc, op8_decontaminate, op9_warc, op10_media)}
-ORACLE_SQL: dict[str, str] = {}
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocknames.report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_line_dedup, op4_pii, op5_secrets, op6_toxicity, op7_token_orc, op8_decontaminate, op9_warc, op10_media, op12_exact_dedup)}
+ORACLE_SQL: dict[str, str] = {
+    "op12_exact_dedup": r"""
+WITH t AS (SELECT doc_id, coalesce(length(text), 0) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain FROM documents)
+SELECT doc_id,
+       first_value(doc_id) OVER (PARTITION BY plain ORDER BY chars DESC, doc_id) AS keep_id,
+       count(*) OVER (PARTITION BY plain) AS group_size,
+       row_number() OVER (PARTITION BY plain ORDER BY chars DESC, doc_id) = 1 AS kept,
+       sha256(plain) AS text_sha256
+FROM t""",
+}
