@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocknames, decontaminate, linededup, media, packing, pii, secrets, simhash, tokenfile, toxicity, warc
+from . import alignment, blocknames, conversations, decontaminate, linededup, media, packing, pii, secrets, simhash, tokenfile, toxicity, warc
 from .common import scratch_path
 
 
@@ -90,11 +90,20 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, absent = conversations.damaged(_table(spark, sf_dir, "conversations"))
+    return conversations.audits(turns, conv_col="conv", absent=absent).withColumnRenamed("conv", "conv_id")
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocknames.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_line_dedup, op4_pii, op5_secrets, op6_toxicity, op7_token_orc, op8_decontaminate, op9_warc, op10_media, op12_exact_dedup)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_line_dedup, op4_pii, op5_secrets, op6_toxicity, op7_token_orc, op8_decontaminate, op9_warc, op10_media, op11_conversations, op12_exact_dedup, op13_alignment)}
 ORACLE_SQL: dict[str, str] = {
     "op12_exact_dedup": r"""
 WITH t AS (SELECT doc_id, coalesce(length(text), 0) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain FROM documents)

@@ -23,7 +23,7 @@ REMEMBERED = 250_000
 LONGEST = 64
 
 #: A space between two plainly visible characters.
-_BREAK = re.compile("(?<=[!-~À-ɏͰ-ϿЀ-ӿ]) (?=[!-~À-ɏͰ-ϿЀ-ӿ])")
+BREAK = re.compile("(?<=[!-~À-ɏͰ-ϿЀ-ӿ]) (?=[!-~À-ɏͰ-ϿЀ-ӿ])")
 
 
 #: A word of Latin letters, perhaps with a full stop or comma: one pre-token, perhaps two.
@@ -96,7 +96,7 @@ class Encoder:
         first, later = self._first, self._later
         lines = text.split("\n")
         if "  " in text or not all(x and x[0] != " " and x[-1] != " " and x.isprintable() for x in lines):
-            head, *rest = _BREAK.split(text)
+            head, *rest = BREAK.split(text)
             return first[head] + b"".join(map(later.__getitem__, rest))
         out = []
         for line in lines:

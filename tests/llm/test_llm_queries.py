@@ -37,10 +37,15 @@ WANT = {
     "op8_decontaminate": {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"},
     "op9_warc": {"page_id", "record_type"},
     "op10_media": {"doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"},
+    "op11_conversations": {"conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"},
+    "op12_exact_dedup": {"doc_id", "keep_id", "group_size", "kept", "text_sha256"},
+    "op13_alignment": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
 }
 
 
 def write(spark, path: str, texts: list, pages: list, items: list) -> str:
+    turns = [(k, i, "user", t) for i, (k, t) in enumerate(texts)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{path}/conversations.parquet")
     docs = [(k, t, "en", None, None, 1, "x", 2, "m", 3) for k, t in texts]
     spark.createDataFrame(docs, DOCS).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(k, 1, k % 2) for k, _ in texts if k], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
