@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import html as H
 from docquarry.functions import text as T
-from docquarry.operators import access, evidence, metadata, relations, structure
+from docquarry.operators import access, evidence, graphs, metadata, relations, sampling, structure
 from docquarry.plans.registry import query
 from docquarry.sources.tables import table
 
@@ -264,3 +264,26 @@ def access_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def access_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling is the feature here."""
     return access.mixture(table(spark, sf_dir, "documents"), {"en": 0.5, "de": 1.0}).select("doc_id", "lang")
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY md5(text)) AS b FROM documents UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY line) FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> ''), "
+    "u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), r AS (SELECT DISTINCT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node) SELECT node AS doc_id, min(root) AS cluster FROM r GROUP BY node"
+)
+def relations_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents joined by equal texts or by a line that both have, over any number of steps."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.explode(F.array_distinct(T.lines(F.col("text")))).alias("line")).where("line <> ''")
+    by_line = lines.select("doc_id", F.xxhash64("line").alias("h"), "line")
+    first = by_line.groupBy("h", "line").agg(F.min("doc_id").alias("least")).select("h", F.col("line").alias("own"), "least")
+    shared = by_line.join(first, (by_line["h"] == first["h"]) & (by_line["line"] == first["own"])).select("doc_id", "least")
+    texts = docs.select("doc_id", T.content_hash(F.col("text")).alias("t"))
+    equal = texts.join(texts.groupBy("t").agg(F.min("doc_id").alias("least")), "t").select("doc_id", "least")
+    found = graphs.clusters(shared.unionByName(equal), a_col="doc_id", b_col="least")
+    return found.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
+
+
+@query("SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY -ln((('0x' || substr(md5('7:' || doc_id::VARCHAR), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) / n_chars, doc_id) AS r FROM documents) WHERE r <= 25")
+def access_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty-five documents of each language, drawn in proportion to their length. Sampling is the feature here."""
+    return sampling.stratified(table(spark, sf_dir, "documents"), 25, "lang", weight_col="n_chars", seed=7).select("doc_id", "lang")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
-from docquarry.operators import evidence, retrieval, search
+from docquarry.operators import evidence, fuzzy, retrieval, search, textindex, vectorindex
 from docquarry.plans.documents import WORDS
-from docquarry.plans.registry import query
+from docquarry.plans.registry import ORACLE_SQL, query
+from docquarry.sources import scratch
 from docquarry.sources.tables import table
 
 #: Terms of the ranked queries, and of the boolean, phrase and proximity ones.
@@ -188,3 +189,71 @@ def evidence_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def search_more_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.more_like(_docs(spark, sf_dir), 7, 5).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _index(spark: SparkSession, *parts: DataFrame) -> textindex.Index:
+    index = textindex.Index(spark, scratch.path(spark, "textindex"))
+    for part in parts:
+        index.append(part)
+    return index
+
+
+@query(BM25 + " SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, doc_id)::BIGINT AS rank FROM b QUALIFY rank <= 20")
+def search_index_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top 20 from a stored index of all documents, skipping blocks by their bounds."""
+    return _index(spark, _docs(spark, sf_dir)).top(TERMS, 20).withColumn("score", F.round("score", 6))
+
+
+@query(BM25 + " SELECT doc_id, round(score, 6) AS score FROM b")
+def search_index_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every score from an index that got its documents in three parts, which were then merged."""
+    docs = _docs(spark, sf_dir)
+    index = _index(spark, *(docs.where(F.col("doc_id") % 3 == part) for part in range(3)))
+    index.merge()
+    return index.bm25(TERMS).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT t AS term, count(DISTINCT doc_id)::BIGINT AS df FROM (SELECT doc_id, unnest({WORDS}) AS t FROM documents) GROUP BY t")
+def search_index_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, _docs(spark, sf_dir)).dictionary()
+
+
+@query(ORACLE_SQL["search_more_like"])
+def search_index_more_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    one = docs.where(F.col("doc_id") == 7).select("text").first()
+    return _index(spark, docs).more_like(one["text"], 5, apart=7).withColumn("score", F.round("score", 6))
+
+
+def _vector_index(spark: SparkSession, sf_dir: str) -> vectorindex.VectorIndex:
+    return vectorindex.VectorIndex.build(table(spark, sf_dir, "embeddings"), scratch.path(spark, "vectorindex"), lists=16)
+
+
+@query(COSINE + RANKED)
+def retrieval_every_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors from the inverted file, all lists probed: exact."""
+    asked = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0)
+    return _vector_index(spark, sf_dir).nearest(asked, 10, probes=16).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("SELECT (SELECT count(*) FROM embeddings) AS indexed, (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) AS asked, true AS reached")
+def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows indexed, queries answered by six of sixteen lists, and whether nine tenths of their ten exact neighbours were found."""
+    index, asked = _vector_index(spark, sf_dir), table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0)
+    found = scratch.materialise(index.nearest(asked, 10, probes=6), "neighbours")
+    reached = vectorindex.recall(found, _nearest(spark, sf_dir)).select((F.col("recall") >= 0.9).alias("reached"))
+    counts = index.members().agg(F.count("*").alias("indexed")), found.agg(F.count_distinct("query_id").alias("asked"))
+    return counts[0].crossJoin(counts[1]).crossJoin(reached)  # three tables of one row
+
+# Letters beyond ASCII are one byte each here, as DuckDB counts bytes; both sides are in lower case.
+_ONE = "translate({}, 'ßäçèéêíñóöü', 'ABCDEFGHIJK')"
+
+
+@query(
+    f"WITH t AS (SELECT DISTINCT t, {_ONE.format('t')} AS s FROM (SELECT unnest({WORDS}) AS t FROM documents)), b AS (SELECT DISTINCT t, {_ONE.format('t')} AS s FROM (SELECT unnest({WORDS}) AS t FROM benchmark)) "
+    "SELECT b.t AS wanted, t.t AS term, levenshtein(b.s, t.s)::BIGINT AS distance FROM b JOIN t ON abs(length(b.s) - length(t.s)) <= 2 AND levenshtein(b.s, t.s) <= 2"
+)
+def search_near_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of all documents within two edits of each term of the benchmark, by shared deletions."""
+    terms = lambda name: table(spark, sf_dir, name).select(F.explode(T.tokens(F.col("text"))).alias("term"))
+    return fuzzy.lookup(terms("benchmark"), fuzzy.index(terms("documents"), 2), 2)

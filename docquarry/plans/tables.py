@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.operators import relational
+from docquarry.functions import tables as table_functions
 from docquarry.plans.registry import query
+from docquarry.sources import records, scratch
 from docquarry.sources.tables import table
 
 
@@ -250,3 +252,36 @@ def table_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = rows.drop("v").dropDuplicates(["user_id", "event_type"])
     filled = users.join(large, ["user_id", "event_type"], "left").na.fill({"v": 0})
     return filled.groupBy("event_type").agg(F.count("*").alias("n_users"), F.sum("v").cast("bigint").alias("n_large"))
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events), s AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, (k - 1)::BIGINT AS session, floor(epoch(min(ts)))::BIGINT AS start_s, floor(epoch(max(ts)))::BIGINT AS end_s, count(*)::BIGINT AS n FROM s GROUP BY user_id, k")
+def events_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions by a Python table function over rows that Spark deals out and orders."""
+    table_functions.register(spark)
+    found = spark.sql("SELECT * FROM dq_sessions(TABLE(SELECT * FROM {events}), key => 'user_id', ts => 'ts', gap_seconds => 1800)", events=table(spark, sf_dir, "events"))
+    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    return found.select(F.col("key").alias("user_id"), "session", seconds("started").alias("start_s"), seconds("ended").alias("end_s"), "n")
+
+
+@query("WITH c AS (SELECT *, coalesce(count(*) FILTER (role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM conversations), q AS (SELECT conv_id, g, min(turn) AS asked, count(*) AS n, sum(length(text)) AS chars FROM c WHERE role = 'user' GROUP BY conv_id, g) SELECT conv_id, asked, turn AS answered, n AS n_asked, chars::BIGINT AS question_chars, length(text)::BIGINT AS answer_chars FROM c JOIN q USING (conv_id, g) WHERE role = 'assistant'")
+def table_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table_functions.register(spark)
+    return spark.sql("SELECT * FROM dq_exchanges(TABLE(SELECT * FROM {turns}))", turns=table(spark, sf_dir, "conversations"))
+
+
+@query("SELECT doc_id, source, length(text)::BIGINT AS n, md5(text) AS digest FROM documents WHERE lang = 'en' AND n_chars > 2000 AND doc_id >= 100")
+def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through the Python data source, read back under filters that it takes over."""
+    records.register(spark)
+    path = scratch.path(spark, "records")
+    table(spark, sf_dir, "documents").write.format("dq_records").mode("append").save(path)
+    found = spark.read.format("dq_records").load(path).where("lang = 'en' AND n_chars > 2000 AND doc_id >= 100")
+    return found.select("doc_id", "source", F.length("text").cast("bigint").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT l_returnflag, l_quantity AS mode, n FROM (SELECT l_returnflag, l_quantity, count(*)::BIGINT AS n, row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, l_quantity) AS r FROM lineitem GROUP BY 1, 2) WHERE r = 1")
+def table_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent quantity, the least of those that tie, and how often it occurs."""
+    counted = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_quantity").agg(F.count("*").alias("n"))
+    best = counted.groupBy("l_returnflag").agg(F.max(F.struct("n", (-F.col("l_quantity")).alias("back"))).alias("x"))
+    return best.select("l_returnflag", (-F.col("x.back")).alias("mode"), F.col("x.n").alias("n"))
