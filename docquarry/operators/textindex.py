@@ -41,22 +41,19 @@ POSTINGS = "term string, generation int, shard bigint, block int, n int, first b
 _COLUMNS = [x.split()[0] for x in POSTINGS.split(", ")]
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Non-negative integers in groups of seven bits, low ones first; the high bit says that more follow."""
-    out = []
+def packed(values: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Non-negative integers in groups of seven bits, low ones first, where the high bit says that more follow; and the byte at which each begins, and the end."""
     v = values.astype(np.uint64)
-    # All values' first bytes, then second ones of those that have any, put in order at the end.
-    place, digits, order = np.arange(len(v)), [], []
-    depth = 0
-    while len(v):
-        more = v >= 128
-        digits.append(((v & np.uint64(127)) | (more.astype(np.uint64) << np.uint64(7))).astype(np.uint8))
-        order.append(place * 10 + depth)
-        v, place, depth = v[more] >> np.uint64(7), place[more], depth + 1
-    if digits:
-        out = np.concatenate(digits)[np.argsort(np.concatenate(order))]
-        return out.tobytes()
-    return b""
+    sizes = np.ones(len(v), dtype=np.int64)
+    for depth in range(1, 9):
+        sizes += v >= np.uint64(1 << 7 * depth)
+    starts = np.concatenate([[0], sizes.cumsum()])
+    out = np.empty(starts[-1], dtype=np.uint8)
+    for depth in range(int(sizes.max(initial=0))):
+        own = sizes > depth
+        digit = (v[own] >> np.uint64(7 * depth)) & np.uint64(127)
+        out[starts[:-1][own] + depth] = digit | (sizes[own] > depth + 1).astype(np.uint64) << np.uint64(7)
+    return out.tobytes(), starts
 
 
 def unpacked(raw: bytes) -> np.ndarray:
@@ -69,14 +66,25 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.add.reduceat((b & 127).astype(np.uint64) << (7 * depth).astype(np.uint64), starts).astype(np.int64)
 
 
-def _blocks(term: str, ids: np.ndarray, tfs: np.ndarray, dls: np.ndarray) -> Iterator[tuple]:
-    """Rows of one term's postings in a shard, from ``block`` on."""
-    order = np.argsort(ids, kind="stable")
-    ids, tfs, dls = ids[order], tfs[order], dls[order]
-    for number, at in enumerate(range(0, len(ids), BLOCK)):
-        i, t, d = ids[at : at + BLOCK], tfs[at : at + BLOCK], dls[at : at + BLOCK]
-        gaps = np.diff(i, prepend=i[0])
-        yield number, len(i), int(i[0]), int(i[-1]), int(t.max()), int(d.min()), packed(gaps), packed(t), packed(d)
+def _blocks(terms: np.ndarray, ids: np.ndarray, tfs: np.ndarray, dls: np.ndarray) -> Iterator[tuple]:
+    """(term, block, n, first, last, max_tf, min_dl, ids, tfs, dls) of one shard's postings; ``terms`` are numbers."""
+    if not len(terms):
+        return
+    order = np.lexsort((ids, terms))
+    terms, ids, tfs, dls = terms[order], ids[order], tfs[order], dls[order]
+    fresh = np.concatenate([[True], terms[1:] != terms[:-1]])
+    heads = np.flatnonzero(fresh)
+    place = np.arange(len(terms)) - np.repeat(heads, np.diff([*heads, len(terms)]))
+    starts = np.flatnonzero(place % BLOCK == 0)
+    stops = np.concatenate([starts[1:], [len(terms)]])
+    gaps = np.diff(ids, prepend=0)
+    gaps[starts] = 0
+    coded = [packed(x) for x in (gaps, tfs, dls)]
+    most, least = np.maximum.reduceat(tfs, starts), np.minimum.reduceat(dls, starts)
+    cuts = [at[np.concatenate([starts, [len(terms)]])].tolist() for _, at in coded]
+    plain = [x.tolist() for x in (terms[starts], place[starts] // BLOCK, stops - starts, ids[starts], ids[stops - 1], most, least)]
+    for i, row in enumerate(zip(*plain, strict=True)):
+        yield (*row, *(raw[at[i] : at[i + 1]] for (raw, _), at in zip(coded, cuts, strict=True)))
 
 
 _KINDS = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
@@ -117,27 +125,31 @@ class Index:
 
     def _built(self, df: DataFrame, generation: int, id_col: str, text_col: str) -> DataFrame:
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def shard(docs: list[tuple[int, int]], held: dict[str, list]) -> Iterator[tuple]:
-                for term, found in held.items():
-                    flat = np.array(found, dtype=np.int64).reshape(-1, 2)
-                    which = np.array(docs, dtype=np.int64)[flat[:, 0]]
-                    for x in _blocks(term, which[:, 0], flat[:, 1], which[:, 1]):
-                        yield (term, generation, number, *x)
-
             number = TaskContext.get().partitionId() << 32
-            docs: list = []
-            held: dict[str, list] = {}
-            size = 0
+            ids: list = []
+            names: dict[str, int] = {}
+            found: list[list[int]] = [[], [], []]  # term, place of the document, frequency
+            lengths: list[int] = []
+
+            def shard() -> Iterator[tuple]:
+                term, doc, tf = (np.array(x, dtype=np.int64) for x in found)
+                listed, which, dl = list(names), np.array(ids, dtype=np.int64), np.array(lengths, dtype=np.int64)
+                if len(doc):
+                    for t, *x in _blocks(term, which[doc], tf, dl[doc]):
+                        yield (listed[t], generation, number, *x)
+
             for b in batches:
                 for doc, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    for term, tf in Counter(words).items():
-                        held.setdefault(term, []).append((len(docs), tf))
-                        size += 1
-                    docs.append((doc, len(words)))
-                    if len(docs) >= SHARD_DOCS or size >= SHARD_POSTINGS:
-                        yield from _batches(shard(docs, held))
-                        docs, held, size, number = [], {}, 0, number + 1
-            yield from _batches(shard(docs, held))
+                    counted = Counter(words)
+                    found[0] += [names.setdefault(t, len(names)) for t in counted]
+                    found[1] += [len(ids)] * len(counted)
+                    found[2] += counted.values()
+                    ids.append(doc)
+                    lengths.append(len(words))
+                    if len(ids) >= SHARD_DOCS or len(found[0]) >= SHARD_POSTINGS:
+                        yield from _batches(shard())
+                        ids, names, found, lengths, number = [], {}, [[], [], []], [], number + 1
+            yield from _batches(shard())
 
         words = T.tokens(F.coalesce(F.col(text_col), F.lit("")))
         return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), words.alias("w")).mapInArrow(build, POSTINGS)
@@ -161,16 +173,21 @@ class Index:
         def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def lists() -> Iterator[tuple]:
                 now, parts = None, []
+
+                def joined() -> Iterator[tuple]:
+                    ids, tfs, dls = map(np.concatenate, zip(*parts, strict=True))
+                    return ((now[0], generation, now[1], *x[1:]) for x in _blocks(np.zeros(len(ids), dtype=np.int64), ids, tfs, dls))
+
                 for b in batches:
                     for row in b.to_pylist():
                         key = (row["term"], row["into"])
                         if key != now and parts:
-                            yield from ((now[0], generation, now[1], *x) for x in _blocks(now[0], *map(np.concatenate, zip(*parts, strict=True))))
+                            yield from joined()
                             parts = []
                         now = key
                         parts.append((row["first"] + np.cumsum(unpacked(row["ids"])), unpacked(row["tfs"]), unpacked(row["dls"])))
                 if parts:
-                    yield from ((now[0], generation, now[1], *x) for x in _blocks(now[0], *map(np.concatenate, zip(*parts, strict=True))))
+                    yield from joined()
 
             yield from _batches(lists())
 

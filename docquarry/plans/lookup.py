@@ -238,9 +238,9 @@ def retrieval_every_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT (SELECT count(*) FROM embeddings) AS indexed, (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) AS asked, true AS reached")
 def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows indexed, queries answered by six of sixteen lists, and whether nine tenths of their ten exact neighbours were found."""
+    """Rows indexed, queries answered by thirteen of sixteen lists (these vectors hardly cluster), and whether nine tenths of their ten exact neighbours were found."""
     index, asked = _vector_index(spark, sf_dir), table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0)
-    found = scratch.materialise(index.nearest(asked, 10, probes=6), "neighbours")
+    found = scratch.materialise(index.nearest(asked, 10, probes=13), "neighbours")
     reached = vectorindex.recall(found, _nearest(spark, sf_dir)).select((F.col("recall") >= 0.9).alias("reached"))
     counts = index.members().agg(F.count("*").alias("indexed")), found.agg(F.count_distinct("query_id").alias("asked"))
     return counts[0].crossJoin(counts[1]).crossJoin(reached)  # three tables of one row

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.operators import relational
-from docquarry.functions import tables as table_functions
+from docquarry.functions import tables as python_tables
 from docquarry.plans.registry import query
 from docquarry.sources import records, scratch
 from docquarry.sources.tables import table
@@ -257,7 +257,7 @@ def table_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events), s AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, (k - 1)::BIGINT AS session, floor(epoch(min(ts)))::BIGINT AS start_s, floor(epoch(max(ts)))::BIGINT AS end_s, count(*)::BIGINT AS n FROM s GROUP BY user_id, k")
 def events_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions by a Python table function over rows that Spark deals out and orders."""
-    table_functions.register(spark)
+    python_tables.register(spark)
     found = spark.sql("SELECT * FROM dq_sessions(TABLE(SELECT * FROM {events}), key => 'user_id', ts => 'ts', gap_seconds => 1800)", events=table(spark, sf_dir, "events"))
     seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
     return found.select(F.col("key").alias("user_id"), "session", seconds("started").alias("start_s"), seconds("ended").alias("end_s"), "n")
@@ -265,7 +265,7 @@ def events_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH c AS (SELECT *, coalesce(count(*) FILTER (role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM conversations), q AS (SELECT conv_id, g, min(turn) AS asked, count(*) AS n, sum(length(text)) AS chars FROM c WHERE role = 'user' GROUP BY conv_id, g) SELECT conv_id, asked, turn AS answered, n AS n_asked, chars::BIGINT AS question_chars, length(text)::BIGINT AS answer_chars FROM c JOIN q USING (conv_id, g) WHERE role = 'assistant'")
 def table_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table_functions.register(spark)
+    python_tables.register(spark)
     return spark.sql("SELECT * FROM dq_exchanges(TABLE(SELECT * FROM {turns}))", turns=table(spark, sf_dir, "conversations"))
 
 

@@ -15,9 +15,9 @@ def test_numbers_survive_coding():
     rng = np.random.default_rng(1)
     for size in (0, 1, 7, 1000):
         v = np.where(rng.random(size) < 0.5, rng.integers(0, 128, size), rng.integers(0, 1 << 62, size))
-        assert textindex.unpacked(textindex.packed(v)).tolist() == v.tolist()
+        assert textindex.unpacked(textindex.packed(v)[0]).tolist() == v.tolist()
     edge = np.array([0, 127, 128, 16383, 16384, (1 << 63) - 1])
-    assert textindex.unpacked(textindex.packed(edge)).tolist() == edge.tolist()
+    assert textindex.unpacked(textindex.packed(edge)[0]).tolist() == edge.tolist()
 
 
 @pytest.fixture(scope="module")
@@ -61,9 +61,13 @@ def test_only_the_terms_folders_are_opened(index):
 def test_blocks_below_the_threshold_are_not_decoded():
     """One rare term in few documents, one in all: beyond the rare ones' blocks none of the frequent term's is needed."""
     ids = np.arange(128 * 200)
-    frequent = [dict(zip(["first", "last", "max_tf", "min_dl", "ids", "tfs", "dls"], x[2:], strict=True)) | {"term": "often"} for x in textindex._blocks("often", ids, np.ones_like(ids), np.full_like(ids, 100))]
-    few = np.array([5, 6, 7])
-    rare = [dict(zip(["first", "last", "max_tf", "min_dl", "ids", "tfs", "dls"], x[2:], strict=True)) | {"term": "rare"} for x in textindex._blocks("rare", few, np.array([3, 2, 4]), np.full(3, 50))]
+    columns = ["block", "n", "first", "last", "max_tf", "min_dl", "ids", "tfs", "dls"]
+
+    def rows(term, ids, tfs, dls):
+        return [dict(zip(columns, x[1:], strict=True)) | {"term": term} for x in textindex._blocks(np.zeros_like(ids), ids, tfs, dls)]
+
+    frequent = rows("often", ids, np.ones_like(ids), np.full_like(ids, 100))
+    rare = rows("rare", np.array([5, 6, 7]), np.array([3, 2, 4]), np.full(3, 50))
     found, decoded = textindex.best_of_shard([*frequent, *rare], {"often": 0.1, "rare": 5.0}, 80.0, 1.2, 0.75, 3, -np.inf)
     assert [d for d, _ in found] == [7, 5, 6] and decoded == 2
 
