@@ -78,7 +78,9 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.kind = np.dtype("<u4" if max(len(self.a_bytes), len(self.b_bytes)) > 1 << 16 else "<u2")
-        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], dtype="<u2") for t in (self.a_bytes, self.b_bytes))
+        longest = max(map(len, [*self.a_bytes, *self.b_bytes]))
+        self.size_kind = np.dtype("<u1" if longest < 1 << 8 else "<u2")
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], dtype=self.size_kind) for t in (self.a_bytes, self.b_bytes))
         self.ranked = self._ranked(set(added))
 
     def _ranked(self, added: set[int]):
@@ -183,9 +185,9 @@ class _Sweep:
     the document that is being read its counts, its digest so far and its pairs.
     """
 
-    def __init__(self, a_ids: int, b_ids: int, kind: np.dtype):
-        count = max(a_ids, b_ids)
-        self.kind = kind
+    def __init__(self, pair: Pair):
+        count = max(len(pair.a_bytes), len(pair.b_bytes))
+        self.kind, self.size_kind = pair.kind, pair.size_kind
         self.marked = {mark: np.array([f"{mark}{i}" for i in range(count)], dtype=object) for mark in ",;|"}
         self.left = [(_NONE, _NONE), (_NONE, _NONE)]
         self.base = self.end = 0
@@ -203,7 +205,7 @@ class _Sweep:
                 self.base = self.end
                 self.docs.append((docs[i], self.base))
             else:
-                ends = np.frombuffer(sizes[i], dtype="<u2").cumsum(dtype=np.int64) + (self.base + at[i])
+                ends = np.frombuffer(sizes[i], dtype=self.size_kind).cumsum(dtype=np.int64) + (self.base + at[i])
                 got[s].append((np.frombuffer(ids[i], dtype=self.kind), ends))
                 self.end = max(self.end, int(ends[-1]))
         (a, a_end), (b, b_end) = ((np.concatenate([x[0] for x in g]).astype(np.int64), np.concatenate([x[1] for x in g])) for g in got)
@@ -271,7 +273,7 @@ def chunks(found: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, number = loaded(a_path, b_path), TaskContext.get().partitionId() << 32
-        machine = _Sweep(len(pair.a_bytes), len(pair.b_bytes), pair.kind)
+        machine = _Sweep(pair)
         done, size, doc_kind = [], 0, None
 
         def full() -> pa.RecordBatch:

@@ -149,7 +149,7 @@ def test_state_is_kept_between_batches(spark, libraries, monkeypatch):
             ends = sizes.cumsum(dtype=np.int64)
             listed += [(doc, side, int(ends[x - 1]) if x else 0, None, ids[x : x + 3].tobytes(), sizes[x : x + 3].tobytes()) for x in range(0, len(ids), 3)]
     listed.sort(key=lambda x: (x[0], x[2], x[1]))
-    machine = alignment._Sweep(len(pair.a_bytes), len(pair.b_bytes), pair.kind)
+    machine = alignment._Sweep(pair)
     found = []
     for i in range(0, len(listed), 2):
         part = listed[i : i + 2]
