@@ -306,6 +306,73 @@ def test_warc_files_round_trip(spark, tmp_path, compression):
     assert len(one) == 1 and bytes(one[0]["block"]) == b"\xff\x00\r\n" and one[0]["record_type"] == "resource" and one[0]["head"].startswith("WARC/1.0")
 
 
+def _record(kind: str, block: bytes, length: int | None = None) -> bytes:
+    return b"WARC/1.0\r\nWARC-Type: " + kind.encode() + b"\r\nContent-Length: %d\r\n\r\n" % (len(block) if length is None else length) + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("split", ["128m", "200"])
+def test_warc_records_have_their_stated_length(spark, tmp_path, split):
+    """Blocks that hold the start of a record are one record, wherever Spark cuts the file."""
+    fake = b"before\r\n\r\nWARC/1.0\r\nWARC-Type: fake\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1 after" * 5
+    blocks = [b"one", fake, b"", b"\xff\x00" * 50, b"two\r\n\r\n", fake + b"x"]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc").write_bytes(b"".join(_record("resource", x) for x in blocks))
+    (tmp_path / "w" / "b.warc").write_bytes(_record("resource", b"plain") + _record("resource", b"cut off", 500))
+    (tmp_path / "w" / "c.warc").write_bytes(b"".join(_record("resource", b"only %d" % i) for i in range(20)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        found = warc.read(spark, f"{tmp_path}/w").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r["record_type"] for r in found} == {"resource"}
+    assert sorted(bytes(r["block"]) for r in found if r["complete"]) == sorted([*blocks, b"plain", *(b"only %d" % i for i in range(20))])
+    assert [bytes(r["block"])[:7] for r in found if not r["complete"]] == [b"cut off"]
+
+
+def test_warc_gzip_has_a_member_for_each_record(spark, tmp_path):
+    import gzip
+    import zlib
+
+    rows = [(f"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: {n}", b"ab" * (n // 2)) for n in (0, 6, 20 << 20)]
+    warc.write(spark.createDataFrame(rows, "head string, block binary").coalesce(1), f"{tmp_path}/g", compression="gzip")
+    (file,) = (tmp_path / "g").glob("*.warc.gz")
+    raw, members = file.read_bytes(), []
+    assert gzip.decompress(raw).count(b"WARC/1.1") == 3
+    while raw:
+        one = zlib.decompressobj(31)
+        members.append(one.decompress(raw))
+        raw = one.unused_data
+    assert [len(x) for x in members if x] == [len(h) + 4 + len(b) + 4 for h, b in rows]
+    assert sorted(len(r["block"]) for r in warc.read(spark, f"{tmp_path}/g").collect()) == [0, 6, 20 << 20]
+
+
+def test_warc_bodies_are_decoded(spark, tmp_path):
+    import gzip
+
+    page = "<p>caf\u00e9 &eacute; &#38;lt; &amp;lt; &nosuch; &#233;</p>"
+    want = "caf\u00e9 \u00e9 &lt; &lt; &nosuch; \u00e9"
+    latin, utf = page.encode("latin-1"), page.encode()
+    chunked = b"".join(b"%x;x=y\r\n%s\r\n" % (len(c), c) for c in (utf[:7], utf[7:])) + b"0\r\n\r\n"
+    cases = {
+        "header": (b"Content-Type: text/html; charset=ISO-8859-1", latin, want),
+        "meta": (b"Content-Type: text/html", b"<meta charset='iso-8859-1'>" + latin, want),
+        "gzip": (b"Content-Type: text/html\r\nContent-Encoding: gzip", gzip.compress(utf), want),
+        "chunks": (b"Transfer-Encoding: chunked", chunked, want),
+        "both": (b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip", b"%x\r\n%s\r\n0\r\n\r\n" % (len(gzip.compress(utf)), gzip.compress(utf)), want),
+        "unknown": (b"Content-Type: text/html; charset=nonsense", utf, want),
+        "broken": (b"Content-Encoding: gzip", utf, want),
+        "plain": (b"Content-Type: text/plain", b"a <b> &amp;", "a <b> &amp;"),
+        "image": (b"Content-Type: image/png", b"\x89PNG <p>", ""),
+    }
+    (tmp_path / "w").mkdir()
+    body = b"".join(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <%s>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k.encode(), len(x), x) for k, (h, b, _) in cases.items() for x in [b"HTTP/1.1 200 OK\r\n" + h + b"\r\n\r\n" + b])
+    (tmp_path / "w" / "a.warc").write_bytes(body)
+    made = warc.derivatives(warc.responses_of(warc.read(spark, f"{tmp_path}/w")), keep=[]).where("record_type = 'conversion'")
+    found = {r[0].strip("<>"): r[1] for r in made.select("refers_to", "block").collect()}
+    assert found == {k: x for k, (_, _, x) in cases.items()}
+
+
 def test_media_sequences_stay_aligned(spark, tmp_path):
     texts = [b"", b"abc", b"x" * 64, b"y" * 65, b"abc"]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, raw binary").withColumn("payload", media.padded(F.col("raw")))
