@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import html as H
 from docquarry.functions import text as T
-from docquarry.operators import access, evidence, graphs, metadata, relations, sampling, structure
+from docquarry.operators import access, colinks, evidence, graphs, metadata, relations, sampling, structure
 from docquarry.plans.registry import query
 from docquarry.sources.tables import table
 
@@ -287,3 +287,14 @@ def relations_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def access_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty-five documents of each language, drawn in proportion to their length. Sampling is the feature here."""
     return sampling.stratified(table(spark, sf_dir, "documents"), 25, "lang", weight_col="n_chars", seed=7).select("doc_id", "lang")
+
+
+@query(
+    rf"WITH l AS (SELECT DISTINCT {URL.format('url')} AS host, {URL.format('target')} AS target FROM (SELECT url, {RESOLVED} AS target FROM (SELECT url, unnest(regexp_extract_all(html, '{HREF}', 1)) AS href FROM pages)) WHERE {URL.format('target')} <> ''), s AS (SELECT host, list(target ORDER BY target) AS t FROM l GROUP BY host), c AS (SELECT min(host) AS class, t FROM s GROUP BY t), "
+    "p AS (SELECT a.class AS a, b.class AS b, len(list_intersect(a.t, b.t)) AS common, len(a.t) + len(b.t) AS total FROM c a JOIN c b ON a.class < b.class) SELECT a, b, common::BIGINT AS common, round(common / (total - common), 6) AS similarity FROM p WHERE common / (total - common) >= 0.3"
+)
+def relations_colinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of classes of hosts, named by their least host, whose sets of linked hosts have a Jaccard similarity of 0.3 or more."""
+    edges = relations.host_links(table(spark, sf_dir, "pages"))
+    pairs, _ = colinks.similar(edges, 0.3, target_col="href_host")
+    return pairs.withColumn("similarity", F.round("similarity", 6))

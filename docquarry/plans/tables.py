@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.operators import relational
+from docquarry.operators import relational, sketches
 from docquarry.functions import tables as python_tables
 from docquarry.plans.registry import query
 from docquarry.sources import records, scratch
@@ -285,3 +285,21 @@ def table_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_quantity").agg(F.count("*").alias("n"))
     best = counted.groupBy("l_returnflag").agg(F.max(F.struct("n", (-F.col("l_quantity")).alias("back"))).alias("x"))
     return best.select("l_returnflag", (-F.col("x.back")).alias("mode"), F.col("x.n").alias("n"))
+
+
+@query(
+    "WITH e AS (SELECT date_trunc('day', ts)::DATE AS day, user_id, event_type, value FROM events), t AS (SELECT count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS users FROM e), a AS (SELECT DISTINCT user_id FROM e WHERE event_type = (SELECT min(event_type) FROM e) AND day = (SELECT min(day) FROM e)), b AS (SELECT DISTINCT user_id FROM e WHERE event_type = (SELECT max(event_type) FROM e) AND day = (SELECT min(day) FROM e)) "
+    "SELECT n, users, (SELECT count(*)::BIGINT FROM a JOIN b USING (user_id)) AS both, (SELECT count(*)::BIGINT FROM a ANTI JOIN b USING (user_id)) AS first_only, true AS median_near, true AS tail_near FROM t"
+)
+def events_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From sketches of every day and type: users of the whole span and of two types on the first day, exact here as they are fewer than a sketch keeps; and whether the median's and the 99th percentile's true ranks are within the bound."""
+    rows = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type", "user_id", "value")
+    kept = scratch.materialise(sketches.stored(rows, [F.col("day"), F.col("event_type")], "user_id", "value"), "sketches")
+    whole = sketches.merged(kept).select("n", F.round(sketches.distinct(F.col("keys"))).cast("bigint").alias("users"), sketches.quantile(F.col("held"), 0.5).alias("median"), sketches.quantile(F.col("held"), 0.99).alias("tail"))
+    limits = kept.agg(F.min("day").alias("day"), F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))  # one row
+    first = kept.join(F.broadcast(limits), "day").groupBy().agg(F.first(F.when(F.col("event_type") == F.col("lo"), F.col("keys")), True).alias("a"), F.first(F.when(F.col("event_type") == F.col("hi"), F.col("keys")), True).alias("b"))
+    pair = first.select(F.round(sketches.shared(F.col("a"), F.col("b"))).cast("bigint").alias("both"), F.round(sketches.only(F.col("a"), F.col("b"))).cast("bigint").alias("first_only"))
+    # True ranks of the two estimates, counted over all rows.
+    ranks = rows.crossJoin(F.broadcast(whole)).agg(F.avg((F.col("value") <= F.col("median")).cast("double")).alias("m"), F.avg((F.col("value") <= F.col("tail")).cast("double")).alias("t"))
+    near = lambda c, at: (F.abs(F.col(c) - at) <= 2 * sketches.RANK_ERROR).alias({"m": "median_near", "t": "tail_near"}[c])
+    return whole.select("n", "users").crossJoin(pair).crossJoin(ranks.select(near("m", 0.5), near("t", 0.99)))  # tables of one row
