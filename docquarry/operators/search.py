@@ -151,7 +151,9 @@ def fuzzy(names: Column, term: str, distance: int) -> Column:
 def more_like(df: DataFrame, doc_id: int, k_terms: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of the other documents by BM25 with the ``k_terms`` best terms of one document by tf times idf."""
     one = df.where(F.col(id_col) == doc_id).select(F.explode(T.tokens(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
-    frequency = dictionary(df, text_col=text_col).select("term", "df")
+    # The terms of one document, so a bounded list: only rows of them leave the scan's tasks.
+    own = F.explode(F.array_distinct(T.tokens(F.col(text_col)))).alias("term")
+    frequency = df.select(own).join(F.broadcast(one.select("term")), "term").groupBy("term").agg(F.count("*").alias("df"))
     weight = F.col("tf") * F.ln(F.lit(df.count()) / F.col("df"))
     best = one.join(frequency, "term").orderBy(weight.desc(), "term").limit(k_terms)
     terms = [r["term"] for r in best.select("term").collect()]  # k_terms at most

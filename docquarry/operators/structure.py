@@ -57,8 +57,9 @@ def outline(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html"
     """(id, pos, level, text, parent): ``parent`` is the position of the last heading of a lower level, null at the top."""
     heads = pages.select(id_col, F.posexplode(H.headings(F.col(html_col))).alias("pos", "h")).select(id_col, "pos", "h.level", "h.text")
     before = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    above = F.collect_list(F.struct("pos", "level")).over(before)
-    return heads.select("*", F.array_max(F.transform(F.filter(above, lambda x: x["level"] < F.col("level")), lambda x: x["pos"])).alias("parent"))
+    # Six running maxima, one for each level, instead of a list of all headings before.
+    last = [F.when(F.col("level") > k, F.max(F.when(F.col("level") == k, F.col("pos"))).over(before)) for k in range(1, 7)]
+    return heads.select("*", F.greatest(*last).alias("parent"))
 
 
 def chunk_tokens(df: DataFrame, size: int, stride: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
