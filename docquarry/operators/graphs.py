@@ -25,16 +25,23 @@ def hub_size(edges: int, hub: int = HUB) -> int:
     return max(hub, -(-2 * edges // HUBS))
 
 
-def salted(edges: DataFrame, least: DataFrame, hubs: DataFrame, size: int) -> DataFrame:
-    """(u, salt, v, m) of the edges (u, v) with their node's least neighbour m from ``least`` (u, m, n); no (u, salt) has many more than ``size`` edges.
+def spread(rows: DataFrame, key: str, by: str, held: DataFrame, hubs: DataFrame, size: int) -> DataFrame:
+    """``rows`` joined with ``held`` on ``key``, where keys of many rows are dealt out by ``by``: no task gets many more than ``size`` rows of one.
 
-    ``hubs`` are the rows of ``least`` with n > ``size``: ``HUBS`` at most.
+    ``hubs`` has the keys with more than ``size`` rows and their number n; it is
+    broadcast, and with a size from ``hub_size`` it has ``HUBS`` rows at most. A hub's row
+    of ``held`` goes to each of its parts.
     """
     parts = F.ceil(F.col("n") / F.lit(size)).cast("int")
-    marked = edges.join(F.broadcast(hubs.select("u", parts.alias("parts"))), "u", "left")
-    marked = marked.select("u", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).alias("salt"), "v")
-    copies = F.when(F.col("n") > size, parts).otherwise(1)
-    return marked.join(least.select("u", "m", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt")), ["u", "salt"])
+    few = F.broadcast(hubs.select(key, parts.alias("_parts")))
+    marked = rows.join(few, key, "left").withColumn("_salt", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"))).drop("_parts")
+    copied = held.join(few, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return marked.join(copied, [key, "_salt"]).drop("_salt")
+
+
+def salted(edges: DataFrame, least: DataFrame, hubs: DataFrame, size: int) -> DataFrame:
+    """(u, v, m) of the edges (u, v) with their node's least neighbour m from ``least`` (u, m, n)."""
+    return spread(edges, "u", "v", least.select("u", "m"), hubs, size)
 
 
 class _Tables:
@@ -72,7 +79,7 @@ def clusters(edges: DataFrame, *, a_col: str = "src", b_col: str = "dst", hub: i
         """(u, v, m): every link with the least neighbour of its first node."""
         least = tables.keep(links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
         size = hub_size(count, hub)
-        return salted(links, least, least.where(F.col("n") > size), size).select("u", "v", "m")
+        return salted(links, least, least.where(F.col("n") > size), size)
 
     while True:
         old = list(tables.paths)
