@@ -42,8 +42,8 @@ from .common import OUT_BYTES, bounded_arrow, discard, materialise_at, release,
 
 #: Words on either side among which a soft line break's digest is the least.
 RADIUS = 4
-#: Words that a repeated run has at least, and that a whole physical line has.
-MIN_WORDS, MIN_LINE_WORDS = 20, 5
+#: Words that a repeated run inside lines has at least, and that a whole physical line has: any that repeats counts.
+MIN_WORDS, MIN_LINE_WORDS = 20, 1
 #: Lines of a chunk (a longer text is one by itself), and different intervals of a bucket on average.
 CHUNK, BUCKET = 1 << 18, 1 << 20
 #: Ranges of the suffix array at most, and sampled pairs of ranks for each, from which their bounds are taken. They bound

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.operators import graphs
+
 from . import simhash
 from .common import OUT_BYTES, Scratch, bounded_arrow, materialise, released, utf8
 from .simhash import BLOCK, SEED, components
@@ -37,6 +39,8 @@ SAMPLE, COMMON = 10_000, 3
 COPIES = 0.3
 #: Parts of a set whose sizes are compared first, and the largest size that is told.
 PARTS, FULL = 128, 255
+#: Pairs of one set, about, that are compared in one task.
+LEADER = 1000
 #: Digests of sets, 8 bytes each, up to which they are broadcast.
 BROADCAST = 1_000_000
 
@@ -232,7 +236,11 @@ def _similar(pairs: DataFrame, own: DataFrame) -> DataFrame:
                     kept.append(k)
             yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(kept, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
-    joined = pairs.join(wanted.select(F.col("s").alias("a"), F.col("own").alias("x")), "a").join(wanted.select(F.col("s").alias("b"), F.col("own").alias("y")), "b")
+    # The leader of a large group has very many pairs: they are dealt out by their other set, and the leader's goes to each part.
+    size = graphs.hub_size(pairs.count(), LEADER)
+    for side, name, other in (("a", "x", "b"), ("b", "y", "a")):
+        hubs = scratch.keep(pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > size), f"nearsets-hubs-{side}")
+        joined = graphs.spread(pairs if side == "a" else joined, side, other, wanted.select(F.col("s").alias(side), F.col("own").alias(name)), hubs, size)
     found = materialise(joined.select("a", "b", "x", "y").mapInArrow(released(rows), "a bigint, b bigint"), "nearsets-links")
     scratch.clear()
     return found

@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_arrow, discard, materialise, materialise_at, released, utf8
+from docquarry.operators import graphs
+
+from .common import bounded_arrow, materialise, released, utf8
 
 SEED = 42
 #: Bits in which linked fingerprints may differ, segments of the ring, and words of a shingle.
@@ -159,26 +161,8 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): for each node of the links, the least node that it can reach.
-
-    Alternating large-star and small-star steps; each round is a table in the
-    shared folder, and the last one but one is deleted.
-    """
-    spark = edges.sparkSession
-    now, path = materialise_at(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    state = None
-    while True:
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).where("u <> v").distinct()
-        now, new = materialise_at(small, "links")
-        discard(spark, path)
-        path, before = new, state
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    """(node, root): for each node of the links, the least node that it can reach; nodes with very many links are split over tasks."""
+    return graphs.clusters(edges, a_col="a", b_col="b")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
