@@ -1,11 +1,12 @@
 """Secret scans: fixed shapes, and strings that zstandard cannot explain.
 
-Three shapes are always reported. Beyond them, a long token that stands shortly
-after a sensitive word is compressed by zstandard primed with the text around
+Three shapes are always reported. Beyond them, a token that stands near a
+sensitive word, on either side, is compressed by zstandard primed with the text around
 it and a dictionary of common identifiers. The marginal bytes (with the
 candidate, less without it) per byte of the candidate measure how new it is:
 names, paths and words that the surroundings explain cost little, random keys
-cost nearly all of their length.
+cost nearly all of their length. The shorter a token is, the less that can tell, so short
+ones have to cost all of it and to mix letters and digits.
 """
 
 from __future__ import annotations
@@ -28,15 +29,16 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Words after which a token is a candidate, and how many characters after.
-SENSITIVE, REACH = re.compile(r"(?ai:credential|passphrase|private|bearer|authorization|signature|access[_ -]?key|api[_ -]?key|password|passwd|secret|token)"), 48
-#: Characters that a candidate has at least.
-LEAST = 20
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+#: Words near which a token is a candidate, and how many characters before or after.
+SENSITIVE, REACH = re.compile(r"(?ai:credential|passphrase|private|bearer|authorization|signature|access[_ -]?key|api[_ -]?key|password|passwd|secret|token)"), 96
+#: Characters that a candidate has at least, and below which it has to have letters and digits.
+LEAST, SHORT = 12, 20
+RUN = re.compile(r"[A-Za-z0-9+/_.-]+={0,2}")
+_IN_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-=")
 #: Characters on either side that prime the compressor.
 AROUND = 2048
-#: Marginal compressed bytes per byte from which a candidate is reported.
-NOVELTY = 0.7
+#: Marginal compressed bytes per byte from which a candidate is reported: of ``SHORT`` characters and more, and of fewer.
+NOVELTY, SHORT_NOVELTY = 0.7, 0.95
 IDENTIFIERS = (
     "access account address algorithm application argument array attribute authorization background boolean buffer "
     "bytes callback certificate client column command comment config configuration connection constant content context "
@@ -65,13 +67,54 @@ def novelty(candidate: str, around: str) -> float:
     return (len(compressor.compress(raw)) - len(compressor.compress(b""))) / len(raw)
 
 
-def _after(text: str, at: int) -> Iterator[re.Match]:
-    """Candidates that start within ``REACH`` of a position; nothing beyond is looked at but their own rest."""
-    last = at + REACH
-    while at <= last and (short := CANDIDATE.search(text, at, last + LEAST)):
-        found = CANDIDATE.match(text, short.start())
-        yield found
-        at = found.end()
+def _windows(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches within ``REACH`` of a sensitive word, joined where they meet and widened to whole runs of a token's characters; each place once."""
+    near: list[list[int]] = []
+    for word in SENSITIVE.finditer(text):
+        lo, hi = max(0, word.start() - REACH), min(len(text), word.end() + REACH)
+        if near and lo <= near[-1][1]:
+            near[-1][1] = hi
+        else:
+            near.append([lo, hi])
+    done = 0
+    for lo, hi in near:
+        lo = max(lo, done)
+        while lo > done and text[lo - 1] in _IN_RUN:
+            lo -= 1
+        if hi > lo:
+            run = RUN.match(text, hi) if hi < len(text) and text[hi - 1] in _IN_RUN else None
+            done = run.end() if run else hi
+            yield lo, done
+
+
+def _plausible(raw: str) -> bool:
+    """Long runs of letters or digits, or a shorter or dotted one with both."""
+    both = any(x.isdigit() for x in raw) and any(x.isalpha() for x in raw)
+    return len(raw) >= LEAST and (both or len(raw) >= SHORT and "." not in raw)
+
+
+def _candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans of the tokens near sensitive words, less what the ``taken`` spans (sorted) have of them; addresses of mails and pages are none."""
+    starts, reach = [s for s, _ in taken], [0, *accumulate((e for _, e in taken), max)]
+    for lo, hi in _windows(text):
+        for m in RUN.finditer(text, lo, hi):
+            start, end = m.span()
+            if end - start < LEAST or text[end : end + 1] == "@" or text[start - 1 : start] == "@" or m[0].startswith("//"):
+                continue
+            parts = [(start, end)]
+            if reach[bisect_left(starts, end)] > start:
+                parts = []
+                for s, e in (x for x in taken[: bisect_left(starts, end)] if x[1] > start):
+                    parts.append((start, min(s, end)))
+                    start = max(start, e)
+                parts.append((start, end))
+            for a, z in parts:
+                while a < z and text[a] in "._-/+=":
+                    a += 1
+                while a < z and text[z - 1] in "._-/":
+                    z -= 1
+                if _plausible(text[a:z]):
+                    yield a, z
 
 
 def spans(text: str | None) -> list[tuple[int, int, int]]:
@@ -86,16 +129,11 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     taken = sorted((s, e) for s, _, e in found)
-    starts, reach = [s for s, _ in taken], [0, *accumulate((e for _, e in taken), max)]
-    seen = set()
-    for word in SENSITIVE.finditer(text) if any(x in low for x in ("credential", "passphrase", "private", "bearer", "authorization", "signature", "key", *_WORDS)) else ():
-        for m in _after(text, word.end()):
-            # Of the spans that start before its end, the farthest end is beyond its start: it overlaps one.
-            if m.span() in seen or reach[bisect_left(starts, m.end())] > m.start():
-                continue
-            seen.add(m.span())
-            if novelty(m[0], text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]) >= NOVELTY:
-                found.append((m.start(), 3, m.end()))
+    if any(x in low for x in ("credential", "passphrase", "private", "bearer", "authorization", "signature", "key", *_WORDS)):
+        for a, z in _candidates(text, taken):
+            limit = NOVELTY if z - a >= SHORT else SHORT_NOVELTY
+            if novelty(text[a:z], text[max(0, a - AROUND) : a] + text[z : z + AROUND]) >= limit:
+                found.append((a, 3, z))
     return sorted(found)
 
 
