@@ -163,9 +163,10 @@ def _free(name: str, taken: set[str]) -> str:
     return name
 
 
-def resolve(sequences: DataFrame, media: DataFrame, *, keys: list[str], elements_col: str = "elements") -> DataFrame:
-    """One row per media reference: ``keys``, position, kind, media, caption and the columns of ``media``.
+def resolve(sequences: DataFrame, media: DataFrame, *, keys: list[str], elements_col: str = "elements", texts: bool = False) -> DataFrame:
+    """One row per media reference: ``keys``, position, kind, media, caption and the columns of ``media``; with ``texts`` one per element of the sequences, with its ``text``.
 
+    A text element keeps its place in the sequence, with nulls for the media columns; it joins nothing.
     ``media`` has one row per medium. References that it lacks keep their row,
     with nulls. References are written once and counted by medium; a medium
     with more than ``HOT_ROWS`` of them, and more than one in ``HOT_MEDIA`` of
@@ -181,4 +182,10 @@ def resolve(sequences: DataFrame, media: DataFrame, *, keys: list[str], elements
     dealt = F.coalesce(F.col(parts), F.lit(1))
     refs = refs.join(hot, "media", "left").withColumn(part, F.pmod(F.monotonically_increasing_id(), dealt)).drop(parts)
     media = media.join(hot, "media", "left").withColumn(part, F.explode(F.sequence(F.lit(0), dealt - 1))).drop(parts)
-    return refs.join(media, ["media", part], "left").drop(part)
+    found = refs.join(media, ["media", part], "left").drop(part)
+    if not texts:
+        return found
+    written = sequences.select(*keys, F.inline(elements_col)).where("media is null")
+    columns = [*keys, "position", "kind", "text", "media", "caption"]
+    found = found.withColumn("text", F.lit(None).cast("string")).select(*columns, *(c for c in found.columns if c not in columns))
+    return found.unionByName(written.select(*columns), allowMissingColumns=True)

@@ -291,13 +291,15 @@ def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     group has no id.
     """
     scratch = Scratch(df.sparkSession)
-    marks = materialise(sets(df, id_col=id_col, text_col=text_col), "nearsets")
+    # Under names of our own, so that an id column may have any.
+    given = df.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    marks = materialise(sets(given, id_col="_doc", text_col="_text"), "nearsets")
     own = marks.where(F.col("own").isNotNull()).select("s", "own", "fp", "sizes")
-    nodes = scratch.keep(marks.groupBy("s").agg(F.min(id_col).alias("least")), "nearsets-nodes")
+    nodes = scratch.keep(marks.groupBy("s").agg(F.min("_doc").alias("least")), "nearsets-nodes")
     roots = components(links(own, nodes.count()))
     joined = scratch.keep(nodes.join(roots, nodes["s"] == roots["node"], "left").select("s", "least", F.coalesce("root", "s").alias("root")), "nearsets-roots")
     named = joined.join(joined.groupBy("root").agg(F.min("least").alias("group")), "root").select("s", "group")
-    later = marks.select(id_col, "s").join(named, "s").where(F.col(id_col) != F.col("group")).select(F.col(id_col).alias("_later")).distinct()
+    later = marks.select("_doc", "s").join(named, "s").where(F.col("_doc") != F.col("group")).select(F.col("_doc").alias("_later")).distinct()
     later = materialise(later, "nearsets-later")
     scratch.clear()
     return df.join(later, df[id_col] == later["_later"], "left_anti")
