@@ -31,6 +31,8 @@ END = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: Named entities that are written out in plain text: HTML 4's, from the standard library, and the apostrophe. A hard space is a space.
 ENTITIES = {name: chr(code) for name, code in html.entities.name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+#: Those that texts have mostly; none of what they stand for can be part of a reference, but the ampersand, which comes last.
+COMMON = ("nbsp", "lt", "gt", "quot", "apos", "copy", "middot", "hellip", "mdash", "ndash", "amp")
 #: What begins a record after the end of the one before.
 BREAK = f"{END}{END}WARC/1."
 
@@ -60,7 +62,11 @@ def unescaped(text: Column) -> Column:
 
     between, codes = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     joined = F.array_join(F.zip_with(between, codes, lambda a, b: F.concat(a, F.when(b.isNull(), F.lit("")).otherwise(char(b)))), "")
-    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+    # Without other references replacing the common ones by turns is the same, and needs no lists.
+    quick = text
+    for name in COMMON:
+        quick = F.replace(quick, F.lit(f"&{name};"), F.lit(ENTITIES[name]))
+    return F.when(text.rlike(rf"&(?!(?:{'|'.join(COMMON)});)[A-Za-z#]"), joined).otherwise(quick)
 
 
 def _one_line(value: Column) -> Column:
@@ -122,7 +128,9 @@ def derivatives(found: DataFrame, *, keep: list[str]) -> DataFrame:
     title = F.regexp_replace(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " ")
     links = F.when(is_html, F.regexp_count("payload", F.lit(r"(?i)<a\s[^>]*href"))).otherwise(0)
     title = F.when(is_html, title).otherwise("")
-    text = F.when(is_html, plain_text(F.col("payload"))).when(F.startswith(stated, F.lit("text/")), F.col("payload")).otherwise("")
+    # Both parts are made in any case, so that what they have in common is made once.
+    as_html, as_text = F.when(is_html, F.col("payload")).otherwise(""), ~is_html & F.startswith(stated, F.lit("text/"))
+    text = F.concat(plain_text(as_html), F.when(as_text, F.col("payload")).otherwise(""))
     fields = F.concat_ws(
         END,
         F.concat(F.lit("title: "), F.trim(title)),
