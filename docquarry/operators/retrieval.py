@@ -2,82 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.operators import search, structure
-
-#: Query vectors that are broadcast and compared in one pass; more queries take more passes.
-BLOCK = 4096
-#: Vectors compared with a block of queries at once.
-ROWS = 2048
-
+from docquarry.operators import search, structure, vectorindex
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, *, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, k: int, *, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding", block: int = vectorindex.QUERY_ROWS) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` best rows for each query, itself excluded; ties go to the smaller id.
 
-    The stated query set is taken in blocks of ``block`` vectors. A block is
-    broadcast, each task keeps its own best ``k`` for each query, and only these
-    are shuffled: tasks times queries times k rows, without a cross join.
-    ``metric``: ``cosine``, ``dot``, or ``l2`` (negative distance). Null vectors
-    are left out; a zero vector has no cosine and is left out there.
+    The stated query set meets all rows in blocks (of ``block`` queries), a matrix product for each pair of blocks, and of
+    it only each query's best ``k`` are shuffled. ``metric``: ``cosine``, ``dot``, or ``l2``
+    (negative distance). Rows without an id or a vector are left out; a zero vector has no cosine and is left out there.
     """
     if metric not in ("cosine", "dot", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
-    spark = rows.sparkSession
-    wanted = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
-    total = wanted.count()
-    found = None
-    for number in range(max(1, -(-total // block))):
-        part = wanted if total <= block else wanted.where(F.pmod(F.xxhash64("id"), F.lit(-(-total // block))) == number)
-        made = _block(spark, part, rows, k, metric, id_col, vector_col)
-        found = made if found is None else found.unionByName(made)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    ranked = found.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
-    return ranked.withColumnRenamed("id", id_col)
-
-
-def _block(spark, part: DataFrame, rows: DataFrame, k: int, metric: str, id_col: str, vector_col: str) -> DataFrame:
-    held = part.toPandas()
-    ids = held["id"].to_numpy(dtype=np.int64)
-    vectors = np.stack(held["v"].to_list()).astype(np.float64) if len(held) else np.empty((0, 0))
-    shared = spark.sparkContext.broadcast((ids, vectors))
-
-    def score(queries: np.ndarray, own: np.ndarray) -> np.ndarray:
-        if metric == "l2":
-            return -np.sqrt(np.maximum(((queries**2).sum(1)[:, None] + (own**2).sum(1)[None, :]) - 2 * queries @ own.T, 0))
-        found = queries @ own.T
-        if metric == "cosine":
-            with np.errstate(divide="ignore", invalid="ignore"):
-                found = found / (np.sqrt((queries**2).sum(1))[:, None] * np.sqrt((own**2).sum(1))[None, :])
-        return found
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q = shared.value
-        if not len(q_ids):
-            return
-        best_score, best_id = np.full((len(q_ids), 0), -np.inf), np.zeros((len(q_ids), 0), dtype=np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                cut = b.slice(at, ROWS)
-                own_ids = cut.column(0).to_numpy(zero_copy_only=False)
-                own = np.stack(cut.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                s = score(q, own)
-                s = np.where((q_ids[:, None] == own_ids[None, :]) | np.isnan(s), -np.inf, s)
-                best_score = np.concatenate([best_score, s], axis=1)
-                best_id = np.concatenate([best_id, np.broadcast_to(own_ids, s.shape)], axis=1)
-                order = np.lexsort((best_id, -best_score), axis=1)[:, :k]
-                best_score, best_id = np.take_along_axis(best_score, order, 1), np.take_along_axis(best_id, order, 1)
-        keep = best_score > -np.inf
-        who = np.broadcast_to(q_ids[:, None], keep.shape)[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(best_id[keep]), pa.array(best_score[keep])], names=["query_id", "id", "score"])
-
-    kept = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
-    return kept.mapInArrow(task, "query_id bigint, id bigint, score double")
+    asked, held = (vectorindex.vectors(x, id_col, vector_col, metric) for x in (queries, rows))
+    return vectorindex.ranked(vectorindex.exhaustive(asked, held, k, metric, block), k, id_col)
 
 
 def rank_fusion(rankings: list[DataFrame], *, c: float = 60.0, id_col: str = "doc_id") -> DataFrame:

@@ -31,7 +31,7 @@ SAMPLE, ROUNDS = 50_000, 12
 
 def centroids(rows: DataFrame, lists: int, *, sample: int = SAMPLE, rounds: int = ROUNDS, id_col: str = "vec_id", vector_col: str = "embedding", metric: str = "cosine") -> np.ndarray:
     """Up to ``lists`` centroids of at most ``sample`` rows, the same for the same rows whatever their order."""
-    wanted = _vectors(rows, id_col, vector_col, metric).orderBy(F.xxhash64("id"), "id").limit(sample)
+    wanted = vectors(rows, id_col, vector_col, metric).orderBy(F.xxhash64("id"), "id").limit(sample)
     held = wanted.select("v").toPandas()["v"]  # bounded by ``sample``
     if not len(held):
         return np.empty((0, 0))
@@ -66,7 +66,7 @@ def _order(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     return np.argsort((c**2).sum(1)[None, :] - 2 * (x @ c.T), axis=1, kind="stable")[:, :n]
 
 
-def _vectors(rows: DataFrame, id_col: str, vector_col: str, metric: str) -> DataFrame:
+def vectors(rows: DataFrame, id_col: str, vector_col: str, metric: str) -> DataFrame:
     """(id, v): rows without an id or a vector are left out, under cosine zero vectors too."""
     made = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
     return made.where(F.exists("v", lambda x: x != 0)) if metric == "cosine" else made
@@ -117,7 +117,7 @@ class VectorIndex:
             raise ValueError(f"unknown metric {metric!r}")
         found = centroids(rows, lists, sample=sample, id_col=id_col, vector_col=vector_col, metric=metric)
         index = cls(rows.sparkSession, path, found, metric, max_k)
-        every = _vectors(rows, id_col, vector_col, metric)
+        every = vectors(rows, id_col, vector_col, metric)
         every.select("id", F.xxhash64("v").alias("key")).write.parquet(f"{path}/members")
         # Each task keeps its own smallest ids of a vector before anything is shuffled, so a frequent vector does not gather.
         small = every.withColumn("r", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= max_k + 1)
@@ -160,35 +160,60 @@ class VectorIndex:
         if k > self.max_k:
             raise ValueError(f"the index keeps {self.max_k} ids of a vector")
         metric = self.metric
-        asked = _vectors(queries, id_col, vector_col, metric).withColumnRenamed("id", "query_id").dropDuplicates(["query_id"])
+        asked = vectors(queries, id_col, vector_col, metric).withColumnRenamed("id", "query_id").dropDuplicates(["query_id"])
         blocks = _blocks(self._listed(asked, probes).repartition("list").sortWithinPartitions("list"), ["query_id"], QUERY_ROWS)
         stored = _blocks(self.entries().sortWithinPartitions("list"), ["ids"], ROWS)
         pairs = blocks.select("list", "query_id", F.col("m").alias("q")).join(stored.select("list", "ids", "m"), "list")
+        return ranked(compared(pairs, k, metric), k, id_col)
 
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(b.num_rows):
-                    who = b.column(0)[i].values.to_numpy()
-                    q = np.frombuffer(b.column(1)[i].as_py()).reshape(len(who), -1)
-                    lists = b.column(2)[i].values
-                    starts = lists.offsets.to_numpy().astype(np.int64)
-                    ids = lists.values.to_numpy()
-                    m = np.frombuffer(b.column(3)[i].as_py()).reshape(len(lists), -1)
-                    yield _best(who, q, starts, ids, m, k, metric)
 
-        kept = pairs.select("query_id", "q", "ids", "m").mapInArrow(score, "query_id bigint, id bigint, score double")
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-        ranked = kept.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
-        return ranked.withColumnRenamed("id", id_col)
+def compared(pairs: DataFrame, k: int, metric: str) -> DataFrame:
+    """(query_id, id, score): each query's ``k`` best of every pair of blocks (query_id, q, ids, m)."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                who = b.column(0)[i].values.to_numpy()
+                q = np.frombuffer(b.column(1)[i].as_py()).reshape(len(who), -1)
+                lists = b.column(2)[i].values
+                starts = lists.offsets.to_numpy().astype(np.int64)
+                ids = lists.values.to_numpy()
+                m = np.frombuffer(b.column(3)[i].as_py()).reshape(len(lists), -1)
+                yield _best(who, q, starts, ids, m, k, metric)
+
+    return pairs.select("query_id", "q", "ids", "m").mapInArrow(score, "query_id bigint, id bigint, score double")
+
+
+def ranked(found: DataFrame, k: int, id_col: str) -> DataFrame:
+    """The ``k`` best of each query with their rank from 1; ties go to the smaller id."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
+    return found.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k).withColumnRenamed("id", id_col)
+
+
+def exhaustive(queries: DataFrame, rows: DataFrame, k: int, metric: str, block: int = QUERY_ROWS) -> DataFrame:
+    """(query_id, id, score): the ``k`` best rows of each task for each query, both as (id, v).
+
+    Blocks of rows are dealt out in parts and every part gets the queries' blocks, by an equi-join on the part's
+    number: what moves is the rows once and the queries once for each part, and nothing passes through the driver.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = _blocks(queries.select(F.lit(0).alias("list"), "v", F.col("id").alias("query_id")), ["query_id"], block)
+    blocks = blocks.select("query_id", F.col("m").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    stored = _blocks(rows.select(F.lit(0).alias("list"), "v", F.array("id").alias("ids")), ["ids"], ROWS)
+    stored = stored.select("ids", "m", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part"))
+    return compared(stored.join(blocks, "part"), k, metric)
 
 
 def _best(who: np.ndarray, q: np.ndarray, starts: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, metric: str) -> pa.RecordBatch:
     """Each query's ``k`` best ids of one block of entries."""
     dots = q @ m.T
-    if metric == "cosine":
+    if metric == "dot":
+        s = dots
+    elif metric == "cosine":
         s = dots / (np.sqrt((q**2).sum(1))[:, None] * np.sqrt((m**2).sum(1))[None, :])
     else:
         s = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (m**2).sum(1)[None, :] - 2 * dots, 0))
+    s = np.where(np.isnan(s), -np.inf, s)
     # An entry gives one id at least other than the query's own, unless that is its only one: k + 1 entries hold the k best, and equal scores further ones.
     out: list[list] = [[], [], []]
     for row, query in zip(s, who.tolist(), strict=True):
@@ -197,7 +222,7 @@ def _best(who: np.ndarray, q: np.ndarray, starts: np.ndarray, ids: np.ndarray, m
             chosen = np.flatnonzero(row >= least)
         else:
             chosen = np.arange(len(row))
-        found = sorted((-row[e], x) for e in chosen for x in ids[starts[e] : starts[e + 1]][: k + 1].tolist() if x != query)[:k]
+        found = sorted((-row[e], x) for e in chosen if row[e] > -np.inf for x in ids[starts[e] : starts[e + 1]][: k + 1].tolist() if x != query)[:k]
         out[0] += [query] * len(found)
         out[1] += [x for _, x in found]
         out[2] += [-x for x, _ in found]
