@@ -125,11 +125,10 @@ def derivatives(found: DataFrame, *, keep: list[str]) -> DataFrame:
     """
     stated = F.lower(F.regexp_extract("headers", r"(?im)^content-type:[ \t]*([^;\r\n ]*)", 1))
     is_html = (stated == "") | F.contains(stated, F.lit("html"))
-    title = F.regexp_replace(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " ")
-    links = F.when(is_html, F.regexp_count("payload", F.lit(r"(?i)<a\s[^>]*href"))).otherwise(0)
-    title = F.when(is_html, title).otherwise("")
-    # Both parts are made in any case, so that what they have in common is made once.
+    # Everything is made of these two in any case, so that what parts have in common is made once.
     as_html, as_text = F.when(is_html, F.col("payload")).otherwise(""), ~is_html & F.startswith(stated, F.lit("text/"))
+    title = F.regexp_replace(F.regexp_extract(as_html, r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " ")
+    links = F.regexp_count(as_html, F.lit(r"(?i)<a\s[^>]*href"))
     text = F.concat(plain_text(as_html), F.when(as_text, F.col("payload")).otherwise(""))
     fields = F.concat_ws(
         END,
