@@ -31,8 +31,6 @@ END = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: Named entities that are written out in plain text: HTML 4's, from the standard library, and the apostrophe. A hard space is a space.
 ENTITIES = {name: chr(code) for name, code in html.entities.name2codepoint.items()} | {"apos": "'", "nbsp": " "}
-#: Those that texts have mostly; none of what they stand for can be part of a reference, but the ampersand, which comes last.
-COMMON = ("nbsp", "lt", "gt", "quot", "apos", "copy", "middot", "hellip", "mdash", "ndash", "amp")
 #: What begins a record after the end of the one before.
 BREAK = f"{END}{END}WARC/1."
 
@@ -50,23 +48,24 @@ def digest(block: Column) -> Column:
 
 def unescaped(text: Column) -> Column:
     """Character references written out in one pass, so what a reference yields is not read again; what is no character becomes U+FFFD, an unknown name stays."""
-    pattern = r"&(#[xX][0-9A-Fa-f]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{1,15});"
     names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
 
-    def char(code: Column) -> Column:
+    def numeric(code: Column) -> Column:
         digits = F.substring(code, 2, 7)
         n = F.when(F.lower(F.substring(digits, 1, 1)) == "x", F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).try_cast("int")
         there = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-        numeric = F.when(there, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
-        return F.when(F.startswith(code, F.lit("#")), numeric).otherwise(F.coalesce(F.try_element_at(names, code), F.concat(F.lit("&"), code, F.lit(";"))))
-
-    between, codes = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    joined = F.array_join(F.zip_with(between, codes, lambda a, b: F.concat(a, F.when(b.isNull(), F.lit("")).otherwise(char(b)))), "")
-    # Without other references replacing the common ones by turns is the same, and needs no lists.
-    quick = text
-    for name in COMMON:
-        quick = F.replace(quick, F.lit(f"&{name};"), F.lit(ENTITIES[name]))
-    return F.when(text.rlike(rf"&(?!(?:{'|'.join(COMMON)});)[A-Za-z#]"), joined).otherwise(quick)
+        return F.when(there, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+
+    def begun(part: Column) -> Column:
+        """What follows an ampersand, with the reference that it begins, if any, written out."""
+        end = F.instr(part, ";")
+        code, rest, plain = F.substring(part, F.lit(1), end - 1), F.substring(part, end + 1, F.length(part)), F.concat(F.lit("&"), part)
+        number = F.when(code.rlike(r"^#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7})$"), F.concat(numeric(code), rest)).otherwise(plain)
+        name = F.coalesce(F.concat(F.try_element_at(names, code), rest), plain)
+        return F.when(~end.between(2, 17), plain).when(F.startswith(part, F.lit("#")), number).otherwise(name)
+
+    parts = F.transform(F.split(text, "&", -1), lambda part, i: F.when(i == 0, part).otherwise(begun(part)))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
 
 
 def _one_line(value: Column) -> Column:
