@@ -34,7 +34,7 @@ def cases() -> list[tuple]:
     return [*rows, (3, "one"), (None, "one"), (None, "no id"), (-5, "one"), (-5, "o  n  e")]
 
 
-@pytest.mark.parametrize("block_bytes", [1, 8, 2048])
+@pytest.mark.parametrize("block_bytes", [8, 2048])
 def test_equals_a_plain_grouping(spark, block_bytes):
     rows = cases()
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
