@@ -2,7 +2,8 @@
 
 A day's rows are read once. What is kept of a day and group is a theta sketch of the keys and a KLL
 sketch of the values, a few kilobytes whatever the number of rows; any span of days, and what
-two groups have in common, is answered from those.
+two groups have in common, is answered from those. A theta sketch is exact only while it has seen fewer keys than it
+keeps; where counts have to be exact whatever the size, ``members`` stores the different keys themselves.
 """
 
 from __future__ import annotations
@@ -24,6 +25,11 @@ def stored(df: DataFrame, by: list[Column], key: str, value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.theta_sketch_agg(F.col(key), LOG_KEYS).alias("keys"), F.kll_sketch_agg_double(known, KLL).alias("held"))
 
 
+def members(df: DataFrame, by: list[Column], key: str) -> DataFrame:
+    """(by, key): the different keys of each group, a null as one of them; one shuffle, a row per key and group."""
+    return df.select(*by, key).distinct()
+
+
 def merged(sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The same columns for coarser groups, all rows in one without ``by``."""
     grouped = sketches.groupBy(*by) if by else sketches.groupBy()

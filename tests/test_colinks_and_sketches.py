@@ -70,3 +70,20 @@ def test_nulls_and_nans_are_left_out(spark):
     df = spark.createDataFrame([("x", 1, 1.0), ("x", None, None), ("x", 1, float("nan")), ("y", None, None)], "g string, k bigint, v double")
     found = {r[0]: r[1:] for r in sketches.stored(df, [F.col("g")], "k", "v").select("g", "n", sketches.distinct(F.col("keys")), F.kll_sketch_get_n_double("held")).collect()}
     assert found == {"x": (3, 1, 1), "y": (1, 0, 0)}
+
+
+def test_event_counts_are_exact_beyond_what_a_sketch_keeps(spark, tmp_path):
+    """30,000 users, where a theta sketch keeps 4,096; null users, types and values among them."""
+    import duckdb
+
+    from docquarry.plans import ORACLE_SQL, QUERIES
+
+    at = f"{tmp_path}/events.parquet"
+    made = f"SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i % 90000) SECOND AS ts, CASE WHEN i % 997 > 0 THEN (i * 7919) % 30000 END AS user_id, CASE WHEN i % 1009 > 0 THEN ['a', 'b', 'c'][1 + (i // 7) % 3] END AS event_type, CASE WHEN i % 13 > 0 THEN (i % 9973)::DOUBLE END AS value FROM range(200000) t(i)"
+    duckdb.sql(f"COPY ({made}) TO '{at}'")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS FROM '{at}'")
+    found = QUERIES["events_sketches"](spark, str(tmp_path))
+    want = con.execute(ORACLE_SQL["events_sketches"])
+    assert found.columns == [c[0] for c in want.description]
+    assert [tuple(r) for r in found.collect()] == want.fetchall()
