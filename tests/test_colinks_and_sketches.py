@@ -87,3 +87,25 @@ def test_event_counts_are_exact_beyond_what_a_sketch_keeps(spark, tmp_path):
     want = con.execute(ORACLE_SQL["events_sketches"])
     assert found.columns == [c[0] for c in want.description]
     assert [tuple(r) for r in found.collect()] == want.fetchall()
+
+
+@pytest.mark.parametrize("share", [0.0, 0.25, 0.5, 0.99, 1.0])
+def test_exact_quantiles_equal_sorted_values(spark, share):
+    rng = np.random.default_rng(5)
+    rows = [("wide", float(x)) for x in rng.normal(size=3001)] + [("ties", float(x)) for x in rng.integers(0, 4, 2000)]
+    rows += [("one", 5.0), ("two", 1.0), ("two", 2.0), ("two", None), ("none", None), (None, 3.0), (None, 4.0), (None, 9.0), ("same", 7.0), ("same", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: r.quantile for r in sketches.exact_quantile(df, "g", "v", share).collect()}
+    want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", share).alias("q")).collect()}
+    assert got == want
+
+
+def test_no_part_of_a_flag_carries_sketches_or_every_price(spark):
+    """A distinct count in one aggregate with the sketches doubles the rows and keeps all of them for every key; ``percentile`` holds each value of a group."""
+    from docquarry.plans import QUERIES
+
+    found = QUERIES["table_sketches"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "percentile(" not in plan
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("n"), F.percentile("l_extendedprice", 0.5).alias("m"))
+    assert {r.l_returnflag: (r.exact, r.exact_median) for r in found.collect()} == {r.l_returnflag: (r.n, r.m) for r in rows.collect()}
