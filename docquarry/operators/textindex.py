@@ -20,8 +20,7 @@ generations has to be started again.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,9 +35,14 @@ K1, B = 1.2, 0.75
 BLOCK, BUCKETS = 128, 64
 #: Documents and postings after which a shard is full, and the shards that are scored first for a threshold.
 SHARD_DOCS, SHARD_POSTINGS, FIRST_SHARDS = 4096, 1_000_000, 16
+#: Documents counted at once, rows that a task gives back at once, and the folder of the shards' totals.
+SLICE, OUT_ROWS, TOTALS = 256, 20_000, -1
+#: Rows that go to a Python worker at once.
+ARROW_ROWS = 1000
 
 POSTINGS = "term string, generation int, shard bigint, block int, n int, first bigint, last bigint, max_tf bigint, min_dl bigint, ids binary, tfs binary, dls binary"
 _COLUMNS = [x.split()[0] for x in POSTINGS.split(", ")]
+_STORED = POSTINGS.replace("generation int, ", "") + ", generation int, bucket int"
 
 
 def packed(values: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -66,39 +70,78 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.add.reduceat((b & 127).astype(np.uint64) << (7 * depth).astype(np.uint64), starts).astype(np.int64)
 
 
-def _blocks(terms: np.ndarray, ids: np.ndarray, tfs: np.ndarray, dls: np.ndarray) -> Iterator[tuple]:
-    """(term, block, n, first, last, max_tf, min_dl, ids, tfs, dls) of one shard's postings; ``terms`` are numbers."""
-    if not len(terms):
-        return
+def _coded(terms: np.ndarray, ids: np.ndarray, tfs: np.ndarray, dls: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """The term of each block, and its columns block, n, first, last, max_tf, min_dl, ids, tfs, dls, of postings in any order; ``terms`` are numbers.
+
+    The three lists of a term come out one after another, so they are slices of one buffer each.
+    """
     order = np.lexsort((ids, terms))
     terms, ids, tfs, dls = terms[order], ids[order], tfs[order], dls[order]
-    fresh = np.concatenate([[True], terms[1:] != terms[:-1]])
+    fresh = np.ones(len(terms), dtype=bool)
+    fresh[1:] = terms[1:] != terms[:-1]
     heads = np.flatnonzero(fresh)
     place = np.arange(len(terms)) - np.repeat(heads, np.diff([*heads, len(terms)]))
     starts = np.flatnonzero(place % BLOCK == 0)
-    stops = np.concatenate([starts[1:], [len(terms)]])
+    stops = np.concatenate([starts[1:], [len(terms)]]).astype(np.int64)
     gaps = np.diff(ids, prepend=0)
     gaps[starts] = 0
-    coded = [packed(x) for x in (gaps, tfs, dls)]
-    most, least = np.maximum.reduceat(tfs, starts), np.minimum.reduceat(dls, starts)
-    cuts = [at[np.concatenate([starts, [len(terms)]])].tolist() for _, at in coded]
-    plain = [x.tolist() for x in (terms[starts], place[starts] // BLOCK, stops - starts, ids[starts], ids[stops - 1], most, least)]
-    for i, row in enumerate(zip(*plain, strict=True)):
-        yield (*row, *(raw[at[i] : at[i + 1]] for (raw, _), at in zip(coded, cuts, strict=True)))
-
+    least = lambda f, x: f.reduceat(x, starts) if len(starts) else x
+    columns = [pa.array((place[starts] // BLOCK).astype(np.int32)), pa.array((stops - starts).astype(np.int32)), pa.array(ids[starts]), pa.array(ids[stops - 1]), pa.array(least(np.maximum, tfs)), pa.array(least(np.minimum, dls))]
+    for values in (gaps, tfs, dls):
+        raw, at = packed(values)
+        cuts = at[np.concatenate([starts, [len(terms)]])].astype(np.int32)
+        columns.append(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(raw)]))
+    return terms[starts], columns
 
-_KINDS = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
-
-def _batches(rows: Iterator[tuple], size: int = 20_000) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    for x in rows:
-        held.append(x)
-        if len(held) == size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), _KINDS, strict=True)], names=_COLUMNS)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), _KINDS, strict=True)], names=_COLUMNS)
+def _blocks(terms: np.ndarray, ids: np.ndarray, tfs: np.ndarray, dls: np.ndarray) -> Iterator[tuple]:
+    """(term, block, n, first, last, max_tf, min_dl, ids, tfs, dls) of one shard's postings, one tuple per block."""
+    found, columns = _coded(terms, ids, tfs, dls)
+    yield from zip(found.tolist(), *(c.to_pylist() for c in columns), strict=True)
+
+
+def _rows(names: pa.Array, generation: int, shards: np.ndarray, columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``POSTINGS``, ``OUT_ROWS`` at a time."""
+    made = pa.RecordBatch.from_arrays([names, pa.array(np.full(len(names), generation, dtype=np.int32)), pa.array(shards.astype(np.int64)), *columns], names=_COLUMNS)
+    for at in range(0, made.num_rows, OUT_ROWS):
+        yield made.slice(at, OUT_ROWS)
+
+
+class _Shard:
+    """Documents of one task until a shard is full: for each batch its different terms, and by number the term, document and frequency of each posting."""
+
+    def __init__(self):
+        self.terms: list[pa.Array] = []
+        self.found: list[np.ndarray] = []
+        self.ids: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
+        self.docs = self.postings = self.names = 0
+
+    def add(self, ids: pa.Array, words: pa.Array) -> None:
+        coded = words.flatten().dictionary_encode()
+        lengths = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        many = max(1, len(coded.dictionary))
+        keys = np.repeat(np.arange(len(words), dtype=np.int64), lengths) * many + coded.indices.to_numpy()
+        keys, times = np.unique(keys, return_counts=True)
+        self.found.append(np.stack([self.names + keys % many, self.docs + keys // many, times]))
+        self.terms.append(coded.dictionary)
+        self.ids.append(ids.to_numpy())
+        self.lengths.append(lengths)
+        self.names += len(coded.dictionary)
+        self.docs += len(words)
+        self.postings += len(keys)
+
+    def blocks(self) -> tuple[pa.Array, list[pa.Array]]:
+        every = pa.concat_arrays(self.terms).dictionary_encode()
+        (term, doc, tf), ids, dl = np.concatenate(self.found, axis=1), np.concatenate(self.ids), np.concatenate(self.lengths)
+        found, columns = _coded(every.indices.to_numpy().astype(np.int64)[term], ids[doc], tf, dl[doc])
+        return every.dictionary.take(pa.array(found)), columns
+
+    def total(self) -> list[pa.Array]:
+        """A row without a term: the number of documents as ``n`` and their length as ``last``."""
+        none = pa.array([0], pa.int64())
+        length = pa.array([sum(int(x.sum()) for x in self.lengths)], pa.int64())
+        return [pa.array([0], pa.int32()), pa.array([self.docs], pa.int32()), none, length, none, none, *[pa.array([b""], pa.binary())] * 3]
 
 
 @dataclass(frozen=True)
@@ -117,42 +160,37 @@ class Index:
         """
         generation = max(self._generations(), default=-1) + 1
         self._write(generation, self._built(df, generation, id_col, text_col))
-        # The number of documents and their total length: one row per generation, written last, so a failed append is not seen.
-        words = F.size(T.tokens(F.coalesce(F.col(text_col), F.lit("")))).cast("bigint")
-        totals = df.where(F.col(id_col).isNotNull()).agg(F.count("*").alias("n"), F.coalesce(F.sum(words), F.lit(0)).cast("bigint").alias("length"))
+        # The number of documents and their total length, from the rows that the shards left: one row per generation, written last, so a failed append is not seen.
+        left = self.spark.read.schema(_STORED).parquet(f"{self.path}/postings/generation={generation}").where(F.col("bucket") == TOTALS)
+        totals = left.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(to) for c, to in (("n", "n"), ("last", "length"))))
         totals.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/totals/generation={generation}")
         return generation
 
     def _built(self, df: DataFrame, generation: int, id_col: str, text_col: str) -> DataFrame:
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            number = TaskContext.get().partitionId() << 32
-            ids: list = []
-            names: dict[str, int] = {}
-            found: list[list[int]] = [[], [], []]  # term, place of the document, frequency
-            lengths: list[int] = []
-
-            def shard() -> Iterator[tuple]:
-                term, doc, tf = (np.array(x, dtype=np.int64) for x in found)
-                listed, which, dl = list(names), np.array(ids, dtype=np.int64), np.array(lengths, dtype=np.int64)
-                if len(doc):
-                    for t, *x in _blocks(term, which[doc], tf, dl[doc]):
-                        yield (listed[t], generation, number, *x)
+            number, shard = TaskContext.get().partitionId() << 32, _Shard()
 
-            for b in batches:
-                for doc, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    counted = Counter(words)
-                    found[0] += [names.setdefault(t, len(names)) for t in counted]
-                    found[1] += [len(ids)] * len(counted)
-                    found[2] += counted.values()
-                    ids.append(doc)
-                    lengths.append(len(words))
-                    if len(ids) >= SHARD_DOCS or len(found[0]) >= SHARD_POSTINGS:
-                        yield from _batches(shard())
-                        ids, names, found, lengths, number = [], {}, [[], [], []], [], number + 1
-            yield from _batches(shard())
+            def full() -> Iterator[pa.RecordBatch]:
+                if shard.docs:
+                    yield from _rows(pa.array([None], pa.string()), generation, np.array([number]), shard.total())
+                if shard.postings:
+                    names, columns = shard.blocks()
+                    yield from _rows(names, generation, np.full(len(names), number), columns)
 
+            for b in batches:
+                at = 0
+                while at < b.num_rows:
+                    part = b.slice(at, min(SLICE, SHARD_DOCS - shard.docs))
+                    shard.add(part.column(0), part.column(1))
+                    at += part.num_rows
+                    if shard.docs >= SHARD_DOCS or shard.postings >= SHARD_POSTINGS:
+                        yield from full()
+                        number, shard = number + 1, _Shard()
+            yield from full()
+
+        _bounded(self.spark)
         words = T.tokens(F.coalesce(F.col(text_col), F.lit("")))
-        return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), words.alias("w")).mapInArrow(build, POSTINGS)
+        return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), words.alias("w")).mapInArrow(_released(build), POSTINGS)
 
     def _write(self, generation: int, rows: DataFrame) -> None:
         bucket = _bucket(F.col("term"))
@@ -171,28 +209,30 @@ class Index:
         into = F.pmod(F.xxhash64("generation", "shard"), F.lit(max(1, -(-postings // SHARD_POSTINGS))))
 
         def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def lists() -> Iterator[tuple]:
-                now, parts = None, []
-
-                def joined() -> Iterator[tuple]:
-                    ids, tfs, dls = map(np.concatenate, zip(*parts, strict=True))
-                    return ((now[0], generation, now[1], *x[1:]) for x in _blocks(np.zeros(len(ids), dtype=np.int64), ids, tfs, dls))
-
-                for b in batches:
-                    for row in b.to_pylist():
-                        key = (row["term"], row["into"])
-                        if key != now and parts:
-                            yield from joined()
-                            parts = []
-                        now = key
-                        parts.append((row["first"] + np.cumsum(unpacked(row["ids"])), unpacked(row["tfs"]), unpacked(row["dls"])))
-                if parts:
-                    yield from joined()
-
-            yield from _batches(lists())
-
-        rows = self._postings().select("term", into.alias("into"), "first", "ids", "tfs", "dls")
-        merged = rows.repartition("term", "into").sortWithinPartitions("term", "into", "first").mapInArrow(rebuild, POSTINGS)
+            kept: list[pa.RecordBatch] = []  # rows of the last term and shard, which may go on
+
+            def joined(rows: pa.RecordBatch, fresh: np.ndarray) -> Iterator[pa.RecordBatch]:
+                n, ids, tfs, dls = _decoded(rows)
+                groups, columns = _coded(np.repeat(fresh.cumsum() - 1, n), ids, tfs, dls)
+                at = pa.array(np.flatnonzero(fresh)[groups])
+                yield from _rows(rows.column("term").take(at), generation, rows.column("into").take(at).to_numpy(), columns)
+
+            for b in batches:
+                rows = pa.Table.from_batches([*kept, b]).combine_chunks().to_batches()[0] if kept else b
+                fresh = _changes(rows)
+                last = int(np.flatnonzero(fresh)[-1])
+                if last:
+                    yield from joined(rows.slice(0, last), fresh[:last])
+                    kept = [rows.slice(last)]
+                else:
+                    kept.append(b)
+            if kept:
+                rows = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+                yield from joined(rows, _changes(rows))
+
+        _bounded(self.spark)
+        rows = self._postings().select("bucket", "term", into.alias("into"), "n", "first", "ids", "tfs", "dls")
+        merged = rows.repartition("bucket", "term", "into").sortWithinPartitions("bucket", "term", "into", "first").drop("bucket").mapInArrow(_released(rebuild), POSTINGS)
         self._write(generation, merged)
         # Readers turn to the merged generation when its totals are there, and no longer look at older ones.
         self._totals().agg(F.sum("n").alias("n"), F.sum("length").alias("length")).coalesce(1).write.parquet(f"{self.path}/totals/base={generation}")
@@ -219,13 +259,12 @@ class Index:
         return sorted(self._seen())
 
     def _postings(self, terms: list[str] | None = None) -> DataFrame:
-        schema = POSTINGS.replace("generation int, ", "") + ", generation int, bucket int"
         seen = self._generations()
         if not seen:
-            return self.spark.createDataFrame([], schema)
-        found = self.spark.read.schema(schema).option("basePath", f"{self.path}/postings").parquet(*(f"{self.path}/postings/generation={x}" for x in seen))
+            return self.spark.createDataFrame([], _STORED)
+        found = self.spark.read.schema(_STORED).option("basePath", f"{self.path}/postings").parquet(*(f"{self.path}/postings/generation={x}" for x in seen))
         if terms is None:
-            return found
+            return found.where(F.col("bucket") != TOTALS)
         # The terms' folders, from the same hash on the driver: literals, so that folders are pruned before listing tasks.
         buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"))).distinct().collect()]
         return found.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms))
@@ -257,13 +296,13 @@ class Index:
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
-                for row in x.to_pylist():
-                    made = _scores(row, weights[row["term"]], mean, k1, b)
-                    yield pa.RecordBatch.from_arrays([pa.array(made[0]), pa.array(made[1])], names=["doc_id", "score"])
+                n, ids, tf, dl = _decoded(x)
+                weight = np.repeat(np.array([weights[t] for t in x.column("term").to_pylist()], dtype=np.float64), n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(_bm25(weight, tf, dl, mean, k1, b))], names=["doc_id", "score"])
 
         if not weights:
             return self.spark.createDataFrame([], "doc_id bigint, score double")
-        parts = self._postings(list(weights)).select("term", "first", "ids", "tfs", "dls").mapInArrow(score, "doc_id bigint, score double")
+        parts = self._postings(list(weights)).select("term", "n", "first", "ids", "tfs", "dls").mapInArrow(score, "doc_id bigint, score double")
         return parts.groupBy("doc_id").agg(F.sum("score").alias("score"))
 
     def top(self, terms: list[str], k: int, *, k1: float = K1, b: float = B, first_shards: int = FIRST_SHARDS) -> DataFrame:
@@ -308,7 +347,7 @@ class Index:
 
 
 def _bucket(term):
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return F.when(term.isNull(), TOTALS).otherwise(F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int"))
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -318,7 +357,55 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def _scores(row: dict, weight: float, mean: float, k1: float, b: float) -> tuple[np.ndarray, np.ndarray]:
     tf, dl = unpacked(row["tfs"]), unpacked(row["dls"])
-    return row["first"] + np.cumsum(unpacked(row["ids"])), weight * tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * dl / mean))
+    return row["first"] + np.cumsum(unpacked(row["ids"])), _bm25(weight, tf, dl, mean, k1, b)
+
+
+def _bm25(weight, tf: np.ndarray, dl: np.ndarray, mean: float, k1: float, b: float) -> np.ndarray:
+    return weight * tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * dl / mean))
+
+
+def _decoded(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How many postings each row has, and the ids, frequencies and lengths of all of them, row after row."""
+    n = rows.column("n").to_numpy().astype(np.int64)
+    gaps, tfs, dls = (unpacked(_bytes(rows.column(c))) for c in ("ids", "tfs", "dls"))
+    # A row's first gap is 0: its ids are its first one plus what the gaps have added since.
+    run, heads = gaps.cumsum(), n.cumsum() - n
+    return n, run + np.repeat(rows.column("first").to_numpy() - run[heads], n), tfs, dls
+
+
+def _bytes(column: pa.Array) -> bytes:
+    """The values of a binary column, joined."""
+    column = column.cast(pa.binary())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return data[int(ends[0]) : int(ends[-1])].to_pybytes() if data is not None and len(column) else b""
+
+
+def _changes(rows: pa.RecordBatch) -> np.ndarray:
+    """Whether a row's term or ``into`` differs from those of the row before it."""
+    fresh = np.ones(rows.num_rows, dtype=bool)
+    term, into = rows.column("term").dictionary_encode().indices.to_numpy(), rows.column("into").to_numpy()
+    fresh[1:] = (term[1:] != term[:-1]) | (into[1:] != into[:-1])
+    return fresh
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Lower the rows per Arrow batch to ``ARROW_ROWS`` so that long texts fit a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
+def _released(batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hands freed memory back when its task ends: a reused worker would keep it."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from batches(found)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
 
 
 def best_of_shard(rows: list[dict], weights: dict[str, float], mean: float, k1: float, b: float, k: int, least: float) -> tuple[list[tuple[int, float]], int]:

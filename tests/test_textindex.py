@@ -123,3 +123,50 @@ def test_more_like_equals_the_exhaustive_search(docs, index):
     text = docs.where("doc_id = 7").first().text
     want, got = scores(search.more_like(docs, 7, 5)), scores(index.more_like(text, 5, apart=7))
     assert want.keys() == got.keys() and all(abs(want[d] - got[d]) < 1e-9 for d in want)
+
+
+def test_a_shard_is_counted_in_arrays(monkeypatch):
+    """A full shard of a million postings stays below 250 MB beyond what it holds before; lists of Python integers and words took more."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{i}" for i in range(200_000)])
+    batch = lambda: pa.array([words[rng.integers(0, len(words), 250)] for _ in range(256)])
+    given = [batch() for _ in range(16)]
+    tracemalloc.start()
+    shard = textindex._Shard()
+    for k, x in enumerate(given):
+        shard.add(pa.array(range(256 * k, 256 * k + 256)), x)
+    names, columns = shard.blocks()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert shard.docs == 4096 and sum(columns[1].to_pylist()) == shard.postings and len(set(names.to_pylist())) == len({t for x in given for d in x.to_pylist() for t in d})
+    assert peak < 250 << 20
+
+
+def test_merging_decodes_many_blocks_at_once(spark, docs, tmp_path, monkeypatch):
+    """Batches of three rows, so that lists of a term go on over several of them."""
+    index = textindex.Index(spark, f"file://{tmp_path}/small")
+    for part in range(2):
+        index.append(docs.where(docs.doc_id % 2 == part))
+    want = {tuple(r) for r in index.dictionary().collect()}
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        index.merge()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    assert {tuple(r) for r in index.dictionary().collect()} == want
+    got, same = scores(index.bm25(TERMS)), scores(search.bm25(docs, TERMS))
+    assert got.keys() == same.keys() and all(abs(same[d] - got[d]) < 1e-9 for d in got)
+    assert index.blocks().where("n > 128 or first > last").count() == 0
+
+
+def test_totals_come_from_the_shards(spark, docs, tmp_path):
+    index = textindex.Index(spark, f"file://{tmp_path}/totals")
+    index.append(docs)
+    words = docs.selectExpr("size(filter(split(lower(text), '[^\\\\p{L}\\\\p{N}]+'), x -> x != '')) AS n").groupBy().sum("n").first()[0]
+    assert tuple(index._totals().first()) == (docs.count(), words)
+    assert index.blocks().where("term is null").count() == 0
