@@ -29,6 +29,9 @@ BREAK = re.compile("(?<=[!-~À-ɏͰ-ϿЀ-ӿ]) (?=[!-~À-ɏͰ-ϿЀ-ӿ])")
 #: A word of Latin letters, perhaps with a full stop or comma: one pre-token, perhaps two.
 _WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
+#: Packers of up to fifteen ids.
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
 
 class _Chunks(dict):
     """Chunk to its ids as little-endian unsigned 32-bit integers.
@@ -40,7 +43,7 @@ class _Chunks(dict):
 
     def __init__(self, tokenizer, before: str):
         super().__init__()
-        self.tokenizer, self.before, self.model = tokenizer, before, tokenizer.model
+        self.tokenizer, self.before, self.tokenize = tokenizer, before, tokenizer.model.tokenize
         self.old: dict[str, bytes] = {}
         shown = tokenizer.pre_tokenizer.pre_tokenize_str
         self.lower = bool(tokenizer.normalizer) and tokenizer.normalizer.normalize_str("A") == "a"
@@ -48,20 +51,28 @@ class _Chunks(dict):
         self.letters = {ord(x): shown(x)[0][0] for x in map(chr, range(0xC0, 0x100)) if _WORD.fullmatch(x)}
         self.ends = {x: self._packed(tokenizer.encode(x, add_special_tokens=False).ids) for x in ".,"} | {"": b""}
 
+    @staticmethod
+    def _word(chunk: str) -> str:
+        """The chunk without a full stop or comma after it if that is a word as of ``_WORD``, else nothing; ASCII needs no expression."""
+        if chunk.isascii():
+            core = chunk[:-1] if chunk[-1:] in (".", ",") else chunk
+            return core if core.isalpha() else ""
+        return found[1] if (found := _WORD.fullmatch(chunk)) else ""
+
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, chunk: str) -> bytes:
         if (out := self.old.get(chunk)) is not None:
             pass
-        elif (word := _WORD.fullmatch(chunk)) and len(chunk) <= LONGEST:
-            core = word[1].lower() if self.lower else word[1]
+        elif len(chunk) <= LONGEST and (word := self._word(chunk)):
+            core = word.lower() if self.lower else word
             if core != chunk:  # its plain form is asked for first
-                out = self[core] + self.ends[word[2]]
+                out = self[core] + self.ends[chunk[len(word) :]]
             else:
-                shown = self.mark + (core if core.isascii() else core.translate(self.letters))
-                out = self._packed([x.id for x in self.model.tokenize(shown)])
+                ids = [x.id for x in self.tokenize(self.mark + (core if core.isascii() else core.translate(self.letters)))]
+                out = _PACKERS[len(ids)](*ids) if len(ids) < 16 else self._packed(ids)
         else:
             out = self._packed(self.tokenizer.encode(self.before + chunk, add_special_tokens=False).ids)
         if len(chunk) <= LONGEST:

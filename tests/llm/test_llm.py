@@ -496,3 +496,18 @@ def test_near_duplicate_stage_finds_all_pairs_at_jaccard(spark, monkeypatch):
     # Links of all pairs, not only of those that a fingerprint of three bits holds.
     assert len({r["doc_id"] for r in simhash.keep_one(docs).collect()}) > len(want)
     assert nearsets.keep_one(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_words_are_told_apart_without_an_expression():
+    """The plain check of ASCII chunks agrees with ``_WORD``, and the ids with the library's."""
+    from docquarry.llm import tokens
+
+    chunks = ["a", "Word", "word.", "word,", "word..", ".", ",", "", "x1", "don't", "é", "Été,", "ÿ.", "a\n", "a\n.", "ñ×", "a,b", "ABC.", "I", "w" * 70, "aé" * 20]
+    for x in chunks:
+        found = tokens._WORD.fullmatch(x)
+        assert tokens._Chunks._word(x) == (found[1] if found else "")
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        made = tokens.Encoder(tokens.public(name))
+        for x in [*chunks, " ".join(chunks), "supercalifragilistic" * 3 + "."]:
+            want = made._tokenizer.encode(x, add_special_tokens=False).ids
+            assert made.encode(x) == b"".join(i.to_bytes(4, "little") for i in want)
