@@ -32,13 +32,16 @@ WINDOW = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 
+#: A change of counts that stands for no open window at a level.
+_NONE = np.int32(1 << 30)
+
 
 class Packer:
     """Places (document, start, packed ids, document's tokens) pieces into windows."""
 
     def __init__(self, window: int):
         self.window = window
-        self.counts = np.zeros(window + 1, dtype=np.int64)
+        self.counts = np.zeros(window + 1, dtype=np.int32)
         self.open: dict[int, list[list]] = {}
 
     def add(self, doc, ids: bytes) -> Iterator[list]:
@@ -54,14 +57,16 @@ class Packer:
         """The fill level, 0 for a new window, that minimises the squared counts."""
         counts, size = self.counts, self.window
         rest = size - length
-        best, cost = 0, 2 * counts[length] + 1
+        best, cost = 0, 2 * int(counts[length]) + 1
         if rest > 1:
-            here, there = counts[1:rest], counts[1 + length : size]
-            change = np.where(here > 0, 2 * (there - here) + 2, np.iinfo(np.int64).max)
-            at = len(change) - 1 - int(change[::-1].argmin())
-            if change[at] <= cost:
-                best, cost = at + 1, change[at]
-        if counts[rest] and 1 - 2 * counts[rest] <= cost:
+            # Backwards, so that the first of equal changes is the fullest level.
+            here = counts[rest - 1 : 0 : -1]
+            apart = np.where(here > 0, counts[size - 1 : length : -1] - here, _NONE)
+            at = int(apart.argmin())
+            change = 2 * int(apart[at]) + 2
+            if change <= cost:
+                best, cost = rest - 1 - at, change
+        if counts[rest] and 1 - 2 * int(counts[rest]) <= cost:
             best = rest
         return best
 

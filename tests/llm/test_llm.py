@@ -511,3 +511,22 @@ def test_words_are_told_apart_without_an_expression():
         for x in [*chunks, " ".join(chunks), "supercalifragilistic" * 3 + "."]:
             want = made._tokenizer.encode(x, add_special_tokens=False).ids
             assert made.encode(x) == b"".join(i.to_bytes(4, "little") for i in want)
+
+
+def test_levels_minimise_the_squares():
+    """Against the sum of squares itself: the least change, ties to the fullest level."""
+    import random
+
+    from docquarry.llm.packing import Packer
+
+    draw, packer = random.Random(3), Packer(32)
+    for _ in range(600):
+        length, counts = draw.randint(1, 31), packer.counts.tolist()
+        costs = {}
+        for level in [0, *(h for h in range(1, 33 - length) if counts[h])]:
+            now = [*counts]
+            now[level] -= level > 0
+            now[level + length] += level + length < 32
+            costs[level] = sum(x * x for x in now[1:32]) - sum(x * x for x in counts[1:32])
+        assert packer.level(length) == max(h for h in costs if costs[h] == min(costs.values()))
+        list(packer.add("d", bytes(4 * length)))
