@@ -11,7 +11,8 @@ group. Between two batches it keeps only the events since the last such offset.
 How often a pair of ids is linked counts documents of the whole corpus. Finished
 documents make up chunks of bounded size, and a chunk sends each different pair
 once with its number of documents: a pair of frequent tokens is one entry per
-chunk in the task that counts it, and the counts come back to the chunk.
+chunk in the task that counts it. The task lists the chunks beside the count, so
+that what is found of a pair is found once, and then goes back to them.
 """
 
 from __future__ import annotations
@@ -316,8 +317,7 @@ def align(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", a_pa
     """
     a_path, b_path = a_path or public(A_FILE), b_path or public(B_FILE)
     kept = Scratch(df.sparkSession).keep(chunks(events(df, id_col, text_col, a_path, b_path), a_path, b_path), "align-chunks")
-    counts = pair_counts(kept)
-    told = kept.select("chunk", F.explode("pairs").alias("pair")).join(counts, "pair").groupBy("chunk").agg(F.collect_list(F.struct("pair", "count", "best")).alias("told"))
+    told = pair_counts(kept).select(F.explode("chunks").alias("chunk"), F.struct("pair", "count", "best").alias("x")).groupBy("chunk").agg(F.collect_list("x").alias("told"))
     kind = kept.schema["docs"].dataType.elementType["doc"].dataType.simpleString()
     totals = ["n_best", "count_sum"]
 
@@ -340,8 +340,10 @@ def align(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", a_pa
 
 
 def pair_counts(kept: DataFrame) -> DataFrame:
-    """(pair, count, best): a pair is A's id times 2**32 plus B's; best if no pair of that A id has more documents."""
-    counts = kept.select(F.explode(F.arrays_zip("pairs", "held")).alias("x")).groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.held").alias("count"))
+    """(pair, count, best, chunks): a pair is A's id times 2**32 plus B's; best if no pair of that A id has more documents; the chunks that hold it."""
+    found = kept.select("chunk", F.explode(F.arrays_zip("pairs", "held")).alias("x"))
+    counts = found.groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.held").alias("count"), F.collect_list("chunk").alias("chunks"))
     counts = Scratch(kept.sparkSession).keep(counts, "align-counts")
     top = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("count").alias("top"))
-    return counts.join(top, F.shiftright("pair", 32) == F.col("a")).select("pair", "count", (F.col("count") == F.col("top")).alias("best"))
+    # A row for each id of A's vocabulary at most: sent to the pairs, so that the lists of chunks stay where they are.
+    return counts.join(F.broadcast(top), F.shiftright("pair", 32) == F.col("a")).select("pair", "count", (F.col("count") == F.col("top")).alias("best"), "chunks")

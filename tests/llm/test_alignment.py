@@ -178,3 +178,33 @@ def test_empty_table_and_another_id(spark):
     assert made(spark.createDataFrame([], "doc_id bigint, text string")) == []
     df = spark.createDataFrame([("x", "a b")], "pair string, text string")
     assert made(df, id_col="pair")[0][:3] == ("x", 2, 2)
+
+
+def joined(plan):
+    """Rows that each join of a plan that has run has made."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return joined(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return joined(plan.plan())
+    children = plan.children()
+    made = [plan.metrics().apply("numOutputRows").value()] if "Join" in name else []
+    return made + [x for i in range(children.size()) for x in joined(children.apply(i))]
+
+
+def overlaps(libraries, rows):
+    for _, text in rows:
+        a, b = map(spans, tokens(libraries, text))
+        yield from ((i, j) for i, s, e in a for j, t, f in b if s < f and t < e)
+
+
+@pytest.mark.parametrize("copies", [5, 40])
+def test_joins_make_a_row_for_each_pair_however_many_chunks_hold_it(spark, libraries, monkeypatch, copies):
+    """A chunk for each document, and every chunk holds the same pairs."""
+    monkeypatch.setattr(alignment, "CHUNK_PAIRS", 1)
+    rows = [(i, "Tokenization of uncommon words, 3.14 and naïve spelling.") for i in range(copies)] + [(copies, "a")]
+    df = alignment.align(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    found = sorted((tuple(x) for x in df.collect()), key=repr)
+    assert found == plainly(libraries, rows)
+    pairs = len(set(overlaps(libraries, rows)))
+    assert sorted(joined(df._jdf.queryExecution().executedPlan())) == sorted([pairs, copies + 1])
